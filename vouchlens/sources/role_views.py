@@ -154,7 +154,7 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
             "complexity"
         ),
         F.to_date("o_orderdate").alias("date"),
-        F.round(F.col("o_totalprice") / 10, 2).alias("amount"),
+        (F.col("o_totalprice") / 10).alias("amount"),
         F.when(F.col("o_orderstatus") == "O", "Abierto")
         .when(F.col("o_orderstatus") == "P", "En Proceso")
         .otherwise("Cerrado")

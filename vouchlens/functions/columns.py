@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(28,6)"
+UNIT = "decimal(28,12)"
 
 
 def flag(predicate: Column) -> Column:
@@ -57,6 +58,15 @@ def money_mean(amount: Column) -> Column:
     return F.try_divide(F.sum(amount.cast(MONEY)).cast("double"), F.count(amount))
 
 
+def unit_sum(score: Column) -> Column:
+    """Exact sum of scores and probabilities, independent of the order of rows."""
+    return F.sum(score.cast(UNIT)).cast("double")
+
+
+def unit_mean(score: Column) -> Column:
+    return F.try_divide(unit_sum(score), F.count(score))
+
+
 def share(part: Column, whole: Column, digits: int | None = None) -> Column:
     """Percentage of ``part`` in ``whole``; zero for an empty whole."""
     pct = F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0))

@@ -50,3 +50,7 @@ def exact_mean(column: str) -> str:
 
 def pct(part: str, whole: str, digits: int = 2) -> str:
     return f"coalesce(round_even({part} * 100.0 / nullif({whole}, 0), {digits}), 0.0)"
+
+
+def unit_mean(column: str) -> str:
+    return f"CAST(sum(CAST({column} AS DECIMAL(28,12))) AS DOUBLE) / count({column})"

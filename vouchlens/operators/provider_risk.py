@@ -298,8 +298,9 @@ def category_summary(scores: DataFrame) -> DataFrame:
     return figures.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def overall_summary(alerted: DataFrame) -> DataFrame:
-    median = quantile_values(alerted, "final_risk_score", {"m": 0.5})
+def overall_summary(alerted: DataFrame, small: bool = False) -> DataFrame:
+    """``small`` is what ``provider_scores`` measured."""
+    median = quantile_values(Measured(alerted, small), "final_risk_score", {"m": 0.5})
     return (
         alerted.agg(
             F.count(F.lit(1)).alias("total_providers"),

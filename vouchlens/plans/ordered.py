@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vouchlens.plans.lookup import Measured
+
 RANGES = 256
 
 
@@ -128,8 +130,17 @@ def exact_quantiles(
     )
 
 
-def quantile_values(df: DataFrame, value: Column | str, probs: dict[str, float]) -> Column:
-    """The quantiles of a whole column as one struct-valued scalar subquery."""
+def quantile_values(
+    table: DataFrame | Measured, value: Column | str, probs: dict[str, float]
+) -> Column:
+    """The quantiles of a whole column as one struct-valued scalar subquery.
+
+    For a table measured as small the built-in exact percentile does.
+    """
+    if isinstance(table, Measured) and table.small:
+        built_in = [F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()]
+        return table.df.agg(F.struct(*built_in).alias("q")).scalar()
+    df = table.df if isinstance(table, Measured) else table
     q = exact_quantiles(df, value, probs)
     return q.select(F.struct(*probs).alias("q")).scalar()
 

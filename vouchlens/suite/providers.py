@@ -40,6 +40,11 @@ def _alerted(s, d, thresholds=op.ALERT_THRESHOLDS):
     return op.with_alerts(_scores(s, d), thresholds)
 
 
+def _summary(s, d):
+    scores = op.provider_scores(_history(s, d), R)
+    return op.overall_summary(op.with_alerts(scores.df), scores.small)
+
+
 def _tidy(df):
     out = df
     for c, t in df.dtypes:
@@ -97,7 +102,7 @@ QUERIES = {
         _one(s, d).select("supplier", "final_risk_score", "risk_category", "alert_count")
     ),
     "R13_category_summary": lambda s, d: _tidy(op.category_summary(_scores(s, d))),
-    "R13_overall_summary": lambda s, d: _tidy(op.overall_summary(_alerted(s, d))),
+    "R13_overall_summary": lambda s, d: _tidy(_summary(s, d)),
     "R14_score_histogram": lambda s, d: op.score_histogram(_scores(s, d)),
     "R14_component_matrix": lambda s, d: _tidy(op.component_matrix(_scores(s, d), "supplier")),
     "R14_amount_points": lambda s, d: _tidy(op.amount_points(_scores(s, d), "supplier")),

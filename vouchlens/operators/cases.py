@@ -17,6 +17,7 @@ from vouchlens.functions.columns import (
     share,
     text,
 )
+from vouchlens.plans.counts import value_counts
 from vouchlens.plans.ordered import quantile_values
 from vouchlens.roles import CaseRoles
 
@@ -111,24 +112,6 @@ def sorted_cases(classified: DataFrame, r: CaseRoles) -> DataFrame:
     return classified.orderBy(F.desc("score_prioridad"), *r.ties)
 
 
-def value_counts(df: DataFrame, dimensions: dict[str, str]) -> DataFrame:
-    """(dimension, value, cases) for several columns in one aggregation."""
-    named = df.select(*[F.col(c).alias(d) for d, c in dimensions.items()])
-    sets = [[F.col(d)] for d in dimensions]
-    counts = named.groupingSets(sets, *[F.col(d) for d in dimensions]).agg(
-        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("cases")
-    )
-    n = len(dimensions)
-    ones = (1 << n) - 1
-    dimension = lookup_value(
-        F.col("_g"), {ones ^ (1 << (n - 1 - i)): d for i, d in enumerate(dimensions)}
-    )
-    return (
-        counts.select(dimension.alias("dimension"), F.coalesce(*dimensions).alias("value"), "cases")
-        .where("value IS NOT NULL")
-    )
-
-
 def classification_counts(classified: DataFrame, r: CaseRoles) -> DataFrame:
     return value_counts(
         classified,

@@ -145,11 +145,27 @@ def quantile_values(
     return q.select(F.struct(*probs).alias("q")).scalar()
 
 
-def mode_value(df: DataFrame, column: str) -> Column:
-    """Most frequent value, the smallest one on a tie, as a scalar subquery."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    best = counts.agg(F.min_by(column, F.struct(-F.col("_n"), F.col(column))).alias("m"))
-    return best.scalar()
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float]) -> Column:
+    """Quantiles of several columns from one pass: a struct of structs, as a scalar subquery."""
+    long = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])))
+    q = exact_quantiles(long, "col", probs, ["pos"])
+    per_column = [
+        F.max(F.when(F.col("pos") == i, F.struct(*probs))).alias(c) for i, c in enumerate(columns)
+    ]
+    return q.agg(F.struct(*per_column).alias("q")).scalar()
+
+
+def column_modes(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Most frequent value per column, the smallest on a tie, as one scalar subquery."""
+    long = df.select(F.posexplode(F.array(*[F.col(c) for c in columns]))).where("col IS NOT NULL")
+    counts = long.groupBy("pos", "col").agg(F.count(F.lit(1)).alias("n"))
+    best = [
+        F.min(F.when(F.col("pos") == i, F.struct((-F.col("n")).alias("k"), F.col("col").alias("v"))))
+        .getField("v")
+        .alias(c)
+        for i, c in enumerate(columns)
+    ]
+    return counts.agg(F.struct(*best).alias("m")).scalar()
 
 
 def with_row_number(df: DataFrame, order: str, key: str, out: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vouchlens.functions.columns import lookup_value
 from vouchlens.plans.hash_order import dated_cuts, position_cuts, shuffled
+from vouchlens.plans.lookup import lookup
 from vouchlens.plans.ordered import column_quantiles
 from vouchlens.roles import ORDINAL_LEVELS, HistoryRoles
 
@@ -188,12 +189,6 @@ def fit_features(df: DataFrame, settings: FeatureSettings) -> FittedFeatures:
 # --- splits and folds -------------------------------------------------------
 
 
-def _before_cut(date: str, cuts: str, index: int) -> Column:
-    here = F.struct(F.col("_day").alias("day"), F.col("_h").alias("hash"))
-    cut = F.get(F.col(cuts), F.lit(index))
-    return F.coalesce(here <= cut, F.lit(False))
-
-
 def temporal_split(
     df: DataFrame, date: str, key: Sequence[str], test_share: float = TEST_SHARE
 ) -> DataFrame:
@@ -204,10 +199,9 @@ def temporal_split(
     keyed = df.withColumns({"_day": F.to_date(date), "_h": shuffled(key)})
     position = F.array(F.floor(F.col("_total") * (1 - test_share)))
     cuts = dated_cuts(keyed, "_day", "_h", position)
-    marked = keyed.withColumn("_cuts", cuts)
-    return marked.withColumn(
-        "split", F.when(_before_cut(date, "_cuts", 0), "train").otherwise("test")
-    ).drop("_day", "_h", "_cuts")
+    here = F.struct(F.col("_day").alias("day"), F.col("_h").alias("hash"))
+    train = here <= F.get(cuts, F.lit(0))
+    return keyed.withColumn("split", F.when(train, "train").otherwise("test")).drop("_day", "_h")
 
 
 def _class_positions(df: DataFrame, label: str, positions: Column) -> DataFrame:
@@ -216,10 +210,10 @@ def _class_positions(df: DataFrame, label: str, positions: Column) -> DataFrame:
 
 
 def _with_cut_number(df: DataFrame, label: str, positions: DataFrame, out: str) -> DataFrame:
-    """How many of its class's cuts lie before a row (classes are few)."""
+    """How many of its class's cuts lie before a row."""
     cuts = position_cuts(df, label, "_h", positions.where("pos > 0"))
     listed = cuts.groupBy(label).agg(F.collect_list("cut").alias("_cuts"))
-    joined = df.join(F.broadcast(listed), label, "left")
+    joined = lookup(df, listed, label)
     behind = F.size(F.filter("_cuts", lambda c: c < F.col("_h")))
     return joined.withColumn(out, F.when(F.col("_cuts").isNull(), 0).otherwise(behind)).drop("_cuts")
 
@@ -277,6 +271,5 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "class_weight") -> DataFrame:
-    """The weight table has one row per class."""
     weights = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(weights), label)
+    return lookup(df, weights, label)

@@ -246,3 +246,28 @@ def policy_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("]}"),
     )
     return o.select(key.alias("doc_id"), doc.alias("doc"))
+
+
+def predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of three stand-in models, made from keys, with many ties.
+
+    The label is the late-payment target; each model adds a different share of it.
+    """
+    h = history(spark, folder).select("id", "part", (F.col("score") < 0.5).cast("int").alias("label"))
+    models = [("a", 7919, 104729, 0.2), ("b", 15485863, 611953, 0.08), ("c", 31337, 271, 0.0)]
+
+    def scored(m: int, p: int, gain: float) -> Column:
+        noise = ((F.col("id") * m + F.col("part") * p) % 1000) / 1250.0
+        return F.round(noise + F.col("label") * gain, 4)
+
+    entries = [
+        F.struct(F.lit(name).alias("model"), scored(m, p, gain).alias("score"))
+        for name, m, p, gain in models
+    ]
+    return h.select(
+        "id",
+        "part",
+        "label",
+        F.when(F.col("part") % 5 == 0, "test").otherwise("train").alias("split"),
+        F.explode(F.array(*entries)).alias("x"),
+    ).select("id", "part", "label", "split", "x.model", "x.score")

@@ -128,7 +128,8 @@ def _std(column: str, digits: int = 2) -> Column:
     return F.bround(F.stddev_samp(column), digits)
 
 
-_N = F.count(F.lit(1))
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 def by_size(df: DataFrame, r: SupplierRoles) -> DataFrame:
@@ -201,7 +202,7 @@ def by_certificate(df: DataFrame) -> DataFrame:
     return each.groupBy("certificacion").agg(
         _mean("score_performance").alias("performance"),
         _mean("score_riesgo").alias("riesgo"),
-        _N.alias("frecuencia"),
+        _n().alias("frecuencia"),
     )
 
 
@@ -263,7 +264,7 @@ def credit_recommendations(df: DataFrame, r: SupplierRoles) -> DataFrame:
 def segment_distribution(df: DataFrame) -> DataFrame:
     """All four segments, also empty ones."""
     counts = df.agg(
-        _N.alias("n"), *[F.count_if(F.col("segmento_riesgo") == s).alias(s) for s in SEGMENTS]
+        _n().alias("n"), *[F.count_if(F.col("segmento_riesgo") == s).alias(s) for s in SEGMENTS]
     )
     rows = [
         F.struct(
@@ -283,7 +284,7 @@ def segment_by_size(df: DataFrame, r: SupplierRoles) -> DataFrame:
         .agg(
             name.alias("segmento"),
             *[F.count_if(F.col(r.size) == s).alias(s) for s in SIZES],
-            _N.alias("All"),
+            _n().alias("All"),
         )
         .drop("segmento_riesgo")
     )
@@ -340,8 +341,8 @@ def misclassified(df: DataFrame, r: SupplierRoles) -> DataFrame:
 
 
 def action_distribution(recommended: DataFrame) -> DataFrame:
-    total = recommended.agg(_N.alias("n")).scalar()
-    counts = recommended.groupBy("accion_credito").agg(_N.alias("proveedores"))
+    total = recommended.agg(_n().alias("n")).scalar()
+    counts = recommended.groupBy("accion_credito").agg(_n().alias("proveedores"))
     return counts.withColumn("pct", share(F.col("proveedores"), total))
 
 
@@ -363,7 +364,7 @@ def portfolio(recommended: DataFrame, r: SupplierRoles) -> DataFrame:
 
 def headline(df: DataFrame, r: SupplierRoles) -> DataFrame:
     return df.agg(
-        _N.alias("total_proveedores"),
+        _n().alias("total_proveedores"),
         F.count_if(F.col("segmento_riesgo") == "Alto_Riesgo").alias("alto_riesgo"),
         F.count_if(F.col("segmento_riesgo") == "Premium").alias("premium"),
         F.avg("score_performance").alias("performance_promedio"),
@@ -375,7 +376,7 @@ def level_counts(df: DataFrame) -> DataFrame:
     return (
         df.where(F.col("nivel_performance").isNotNull())
         .groupBy("nivel_performance")
-        .agg(_N.alias("proveedores"))
+        .agg(_n().alias("proveedores"))
     )
 
 

@@ -21,22 +21,29 @@ def _line_value() -> Column:
 
 
 def payments(spark: SparkSession, folder: str) -> DataFrame:
-    """One payment per order line; open lines are billed gross, finished ones net."""
+    """One payment per order line; open lines are billed gross, finished ones net.
+
+    A third is due as agreed and half of the granted credit follows the terms.
+    """
     net = F.round(
         F.col("l_extendedprice") * F.col("l_quantity") * (1 - F.col("l_discount")), 4
     )
+    days = 30 * (1 + F.col("l_linenumber") % 3)
+    agreed = F.date_add(F.to_date("o_orderdate"), days)
     return _lines_with_orders(spark, folder).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.col("l_suppkey").alias("supplier"),
         F.to_date("o_orderdate").alias("invoice_date"),
-        F.to_date("l_shipdate").alias("due_date"),
+        F.when(F.col("l_partkey") % 3 == 0, agreed).otherwise(F.to_date("l_shipdate")).alias("due_date"),
         F.when(F.col("l_linestatus") == "O", _line_value()).otherwise(net).alias("amount"),
-        F.concat((30 * (1 + F.col("l_linenumber") % 3)).cast("string"), F.lit(" días")).alias("terms"),
+        F.concat(days.cast("string"), F.lit(" días")).alias("terms"),
         F.when(F.col("l_returnflag") == "A", "Pagado")
         .when(F.col("l_returnflag") == "N", "Pendiente")
         .otherwise("Retrasado")
         .alias("status"),
-        (F.col("l_quantity").cast("int") - 10).alias("credit_days"),
+        F.when(F.col("l_quantity") % 2 == 0, days)
+        .otherwise(F.col("l_quantity").cast("int") - 11)
+        .alias("credit_days"),
         (F.round(F.col("l_discount") * 100) * 2).alias("discount"),
         F.round(F.col("l_tax") * 100).alias("penalty"),
         F.concat_ws("-", "o_orderpriority", (F.col("l_suppkey") % 20).cast("string")).alias("approver"),

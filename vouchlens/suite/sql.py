@@ -5,12 +5,13 @@ AS_OF = "1999-01-01"
 PAYMENTS = """
 payments AS (
   SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS supplier,
-    CAST(o_orderdate AS DATE) AS invoice_date, CAST(l_shipdate AS DATE) AS due_date,
+    CAST(o_orderdate AS DATE) AS invoice_date, 
+    CASE WHEN l_partkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + 30 * (1 + l_linenumber % 3) ELSE CAST(l_shipdate AS DATE) END AS due_date,
     CASE WHEN l_linestatus = 'O' THEN round(l_extendedprice * l_quantity, 2)
          ELSE round(l_extendedprice * l_quantity * (1 - l_discount), 4) END AS amount,
     CAST(30 * (1 + l_linenumber % 3) AS VARCHAR) || ' días' AS terms,
     CASE l_returnflag WHEN 'A' THEN 'Pagado' WHEN 'N' THEN 'Pendiente' ELSE 'Retrasado' END AS status,
-    CAST(l_quantity AS INTEGER) - 10 AS credit_days,
+    CASE WHEN l_quantity % 2 = 0 THEN 30 * (1 + l_linenumber % 3) ELSE CAST(l_quantity AS INTEGER) - 11 END AS credit_days,
     round(l_discount * 100) * 2 AS discount, round(l_tax * 100) AS penalty,
     o_orderpriority || '-' || CAST(l_suppkey % 20 AS VARCHAR) AS approver, l_partkey AS part
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vouchlens.functions.columns import any_of, flag, share
 from vouchlens.plans.ordered import column_modes, column_quantiles
 from vouchlens.roles import VALID_CATEGORIES, HistoryRoles
-from vouchlens.session import cut_lineage
+from vouchlens.session import written_once
 
 OUTLIER_FACTOR = 1.5
 MISSING = "nan"  # how a missing category reads once it is text
@@ -174,7 +174,7 @@ def clean(
     The medians, modes and quartiles each need the whole table, so the typed and
     the filled rows are written once and read from there.
     """
-    filled = cut_lineage(normal_amounts(fill_missing(cut_lineage(typed(df, r)), r), r))
+    filled = written_once(normal_amounts(fill_missing(written_once(typed(df, r)), r), r))
     checked = valid_categories(filled, allowed)
     marked = with_outliers(checked, [r.amount, r.time], factor)
     return valid_ranges(marked, r)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vouchlens.functions.columns import digits_in, fixed, flag, money_mean, money_sum, present, text
 from vouchlens.plans.counts import value_counts
 from vouchlens.plans.lookup import Measured, lookup, lookup_split, measured
+from vouchlens.session import cut_lineage
 
 # Required keys, types, severities and bounds.
 REQUIRED_KEYS = ["payment_policies", "transactions"]
@@ -48,6 +49,10 @@ DOCUMENT_SCHEMA = (
     "_corrupt_record string"
 )
 
+POLICY_PATH = "payment_policies: struct<policies: struct<supplier_type: map<string, {}>>>"
+# the same documents with policies and transactions left as texts
+RAW_SCHEMA = f"struct<{POLICY_PATH.format('string')}, transactions: array<string>>"
+
 INTEGER_TYPES = ["BIGINT"]
 
 
@@ -77,15 +82,18 @@ def valid_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
 def raw_policies(docs: DataFrame, key: str = "doc_id", doc: str = "doc") -> DataFrame:
     """(document, supplier type, policy text)."""
-    by_type = F.from_json(
-        F.get_json_object(doc, "$.payment_policies.policies.supplier_type"), "map<string,string>"
+    by_type = (
+        F.from_json(doc, RAW_SCHEMA)
+        .getField("payment_policies")
+        .getField("policies")
+        .getField("supplier_type")
     )
     return docs.select(key, F.explode(by_type).alias("supplier_type", "config"))
 
 
 def raw_transactions(docs: DataFrame, key: str = "doc_id", doc: str = "doc") -> DataFrame:
     """(document, transaction text)."""
-    listed = F.from_json(F.get_json_object(doc, "$.transactions"), "array<string>")
+    listed = F.from_json(doc, RAW_SCHEMA).getField("transactions")
     return docs.select(key, F.explode(listed).alias("transaction"))
 
 
@@ -109,29 +117,32 @@ def missing_transaction_fields(transactions: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def type_errors(transactions: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One message per id that is no integer and per amount that is no number."""
-    parsed = F.try_parse_json("transaction")
+def _type_messages(body: Column) -> Column:
+    """A message if the id is no integer, and one if the amount is no number."""
+    parsed = F.try_parse_json(body)
 
     def kind(path: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(F.col("_v"), path, "variant"))
+        return F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
 
     def shown(path: str) -> Column:
-        return F.coalesce(F.try_variant_get(F.col("_v"), path, "string"), F.lit("None"))
+        return F.coalesce(F.try_variant_get(parsed, path, "string"), F.lit("None"))
 
     number = kind("$.amount")
     is_number = number.isin("BIGINT", "DOUBLE", "FLOAT") | number.startswith("DECIMAL")
-    bad_id = ~F.coalesce(kind("$.transaction_id").isin(INTEGER_TYPES), F.lit(False))
-    bad_amount = ~F.coalesce(is_number, F.lit(False))
-    messages = present(
+    bad_id = ~flag(kind("$.transaction_id").isin(INTEGER_TYPES))
+    bad_amount = ~flag(is_number)
+    return present(
         [
             F.when(bad_id, text("transaction_id inválido: {}", shown("$.transaction_id"))),
             F.when(bad_amount, text("amount inválido en trans {}", shown("$.transaction_id"))),
         ]
     )
-    return transactions.withColumn("_v", parsed).select(
-        key, F.posexplode(messages).alias("pos", "message")
-    )
+
+
+def type_errors(transactions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One message per id that is no integer and per amount that is no number."""
+    messages = _type_messages(F.col("transaction"))
+    return transactions.select(key, F.posexplode(messages).alias("pos", "message"))
 
 
 def type_warnings(errors: DataFrame, key: str = "doc_id", shown: int = SHOWN_MESSAGES) -> DataFrame:
@@ -144,61 +155,117 @@ def type_warnings(errors: DataFrame, key: str = "doc_id", shown: int = SHOWN_MES
 
 
 def without_metadata(transactions: DataFrame) -> DataFrame:
-    has = F.array_contains(F.json_object_keys("transaction"), "metadata")
     return transactions.agg(
-        F.count_if(~F.coalesce(has, F.lit(False))).alias("transacciones_sin_metadata")
+        F.count_if(~_has_metadata(F.col("transaction"))).alias("transacciones_sin_metadata")
     )
 
 
-def structure_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Everything the validation finds, as (section, item)."""
-    checked = required_keys(docs)
-    valid = valid_documents(docs)
-    policies, transactions = raw_policies(valid, key), raw_transactions(valid, key)
+def _has_metadata(body: Column) -> Column:
+    return flag(F.array_contains(F.json_object_keys(body), "metadata"))
 
-    def rows(df: DataFrame, section: str, item: Column) -> DataFrame:
-        return df.select(F.lit(section).alias("section"), item.alias("item"))
 
-    missing = checked.select(F.explode("missing_keys").alias("k")).distinct()
-    invalid = checked.agg(F.count_if(~F.col("estructura_valida")).alias("n"))
-    lost = without_metadata(transactions).where("transacciones_sin_metadata > 0")
-    types = policy_types(policies)
-    return (
-        rows(invalid, "documentos_invalidos", F.col("n").cast("string"))
-        .unionByName(rows(missing, "errores", text("Falta clave principal: '{}'", F.col("k"))))
-        .unionByName(
-            rows(
-                missing_policy_fields(policies),
-                "advertencias",
-                text("Tipo '{}' no tiene campo '{}'", F.col("supplier_type"), F.col("campo")),
-            )
-        )
-        .unionByName(
-            rows(
-                missing_transaction_fields(transactions),
-                "campos_faltantes",
-                F.col("campo"),
-            )
-        )
-        .unionByName(
-            rows(type_warnings(type_errors(transactions, key), key), "advertencias", F.col("message"))
+def structure_facts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(section, item, cases) of everything the validation looks at, from one scan.
+
+    Each document gives its parts, each part its findings; findings are counted on
+    the way, so what is shuffled is one row per distinct finding.
+    """
+
+    def part(kind: str, name: Column, body: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), body.alias("body"))
+
+    none = F.lit(None).cast("string")
+    raw = F.from_json("doc", RAW_SCHEMA)
+    checked = required_keys(docs).withColumn("_raw", raw)
+    by_type = F.map_entries("_raw.payment_policies.policies.supplier_type")
+    no_parts = F.array().cast("array<struct<kind: string, name: string, body: string>>")
+    parts = F.when(
+        F.col("estructura_valida"),
+        F.concat(
+            F.coalesce(F.transform(by_type, lambda e: part("policy", e["key"], e["value"])), no_parts),
+            F.coalesce(F.transform("_raw.transactions", lambda t: part("tx", none, t)), no_parts),
+        ),
+    ).otherwise(
+        F.concat(
+            F.array(part("invalid", none, none)),
+            F.transform("missing_keys", lambda k: part("error", k, none)),
         )
-        .unionByName(
-            rows(
-                lost,
-                "advertencias",
-                text("{} transacciones sin metadata", F.col("transacciones_sin_metadata")),
-            )
+    )
+    each = checked.select(key, F.explode(parts).alias("p")).select("p.kind", "p.name", "p.body")
+
+    def fact(section: str, item: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), item.alias("item"))
+
+    name, body = F.col("name"), F.col("body")
+    lost_policy = F.transform(
+        _missing(POLICY_FIELDS, body),
+        lambda c: fact("advertencias", text("Tipo '{}' no tiene campo '{}'", name, c)),
+    )
+    lost_field = F.transform(
+        _missing(TRANSACTION_FIELDS, body), lambda c: fact("campos_faltantes", c)
+    )
+    wrong_type = F.transform(_type_messages(body), lambda m: fact("tipos_invalidos", none))
+    no_metadata = present([F.when(~_has_metadata(body), fact("sin_metadata", none))])
+    facts = (
+        F.when(F.col("kind") == "invalid", F.array(fact("documentos_invalidos", none)))
+        .when(F.col("kind") == "error", F.array(fact("errores", text("Falta clave principal: '{}'", name))))
+        .when(
+            F.col("kind") == "policy",
+            F.concat(F.array(fact("tipos_proveedor", name)), lost_policy),
         )
-        .unionByName(rows(types, "tipos_proveedor", F.col("supplier_type")))
-        .unionByName(
-            rows(
-                transactions.agg(F.count(F.lit(1)).alias("n")),
-                "num_transacciones",
-                F.col("n").cast("string"),
+        .otherwise(
+            F.concat(
+                F.array(fact("num_transacciones", none)), lost_field, wrong_type, no_metadata
             )
         )
     )
+    return (
+        each.select(F.explode(facts).alias("f"))
+        .groupBy("f.section", "f.item")
+        .agg(F.count(F.lit(1)).alias("cases"))
+    )
+
+
+def structure_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Everything the validation finds, as (section, item)."""
+    facts = cut_lineage(structure_facts(docs, key))
+
+    def cases(section: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("section") == section, F.col("cases"))), F.lit(0))
+
+    listed = facts.where("item IS NOT NULL").select("section", "item")
+    totals = facts.agg(
+        cases("documentos_invalidos").alias("invalid"),
+        cases("num_transacciones").alias("rows"),
+        cases("tipos_invalidos").alias("wrong"),
+        cases("sin_metadata").alias("lost"),
+    )
+
+    def row(section: str, item: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), item.alias("item"))
+
+    rows = present(
+        [
+            row("documentos_invalidos", F.col("invalid").cast("string")),
+            row("num_transacciones", F.col("rows").cast("string")),
+            F.when(
+                F.col("lost") > 0,
+                row("advertencias", text("{} transacciones sin metadata", F.col("lost"))),
+            ),
+            F.when(
+                F.col("wrong") > SHOWN_MESSAGES,
+                row("advertencias", text("... y {} más", F.col("wrong") - SHOWN_MESSAGES)),
+            ),
+        ]
+    )
+    counted = totals.select(F.explode(rows).alias("r")).select("r.section", "r.item")
+    errors = type_errors(raw_transactions(valid_documents(docs), key), key)
+    first = (
+        errors.orderBy(key, "pos")
+        .limit(SHOWN_MESSAGES)
+        .select(F.lit("advertencias").alias("section"), F.col("message").alias("item"))
+    )
+    return listed.unionByName(counted).unionByName(first)
 
 
 # --- flat tables ------------------------------------------------------------
@@ -206,7 +273,13 @@ def structure_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def policies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per supplier type; where documents repeat a type the first counts."""
-    parsed = raw_policies(docs, key).withColumn("p", F.from_json("config", POLICY_SCHEMA))
+    by_type = (
+        F.from_json("doc", f"struct<{POLICY_PATH.format(POLICY_SCHEMA)}>")
+        .getField("payment_policies")
+        .getField("policies")
+        .getField("supplier_type")
+    )
+    parsed = docs.select(key, F.explode(by_type).alias("supplier_type", "p"))
     first = parsed.groupBy("supplier_type").agg(F.min_by("p", key).alias("p"))
     return first.select(
         "supplier_type",
@@ -218,9 +291,10 @@ def policies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def transactions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def transactions(docs: DataFrame) -> DataFrame:
     """Flat transactions with lifted metadata; unreadable values become null."""
-    t = raw_transactions(docs, key).withColumn("t", F.from_json("transaction", TRANSACTION_SCHEMA))
+    typed = F.from_json("doc", f"struct<transactions: array<{TRANSACTION_SCHEMA}>>")
+    t = docs.select(F.explode(typed.getField("transactions")).alias("t"))
     related = F.coalesce("t.metadata.related_transactions", F.array().cast("array<bigint>"))
     flat = t.select(
         "t.transaction_id",

@@ -13,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vouchlens.plans.lookup import Measured
+from vouchlens.plans.lookup import Measured, measured
 
 RANGES = 256
+TASK_ROWS = 1_000_000  # distinct values one task may hold
 
 
 def _range_number(value: Column, cuts: Column, ranges: int) -> Column:
@@ -43,27 +44,51 @@ def with_range(df: DataFrame, key: str, out: str = "_range", ranges: int = RANGE
     )
 
 
+def _direction(name: str, descending: bool) -> Column:
+    return F.col(name).desc() if descending else F.col(name).asc()
+
+
 def running_totals(
     cells: DataFrame,
     order: Sequence[str],
     sums: Sequence[str],
     groups: Sequence[str] = (),
     descending: bool = False,
-    ranges: int = RANGES,
+    limit: int | None = None,
 ) -> DataFrame:
     """Adds ``{s}_before`` (total of ``s`` over the cells ahead) and ``{s}_total``.
 
     ``cells`` has one row per (groups, order); the first order column is numeric.
+    Cells are computed once; up to ``limit`` of them one window per group will do.
     """
-    groups, order = list(groups), list(order)
-    df = with_range(cells, order[0], "_range", ranges)
+    known = measured(cells, TASK_ROWS if limit is None else limit)
+    if not known.small:
+        return _by_ranges(known.df, order, sums, groups, descending)
+    whole = Window.partitionBy(*groups)
+    ahead = whole.orderBy(*[_direction(o, descending) for o in order]).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    return known.df.withColumns(
+        {f"{s}_before": F.coalesce(F.sum(s).over(ahead), F.lit(0)) for s in sums}
+        | {f"{s}_total": F.sum(s).over(whole) for s in sums}
+    )
 
-    def direction(name: str) -> Column:
-        return F.col(name).desc() if descending else F.col(name).asc()
 
+def _by_ranges(
+    cells: DataFrame,
+    order: Sequence[str],
+    sums: Sequence[str],
+    groups: Sequence[str] = (),
+    descending: bool = False,
+    ranges: int = RANGES,
+) -> DataFrame:
+    """Running totals within value ranges, plus the totals of the ranges ahead."""
+    groups = list(groups)
+    df = with_range(cells, order[0], "_range", ranges)
     per_range = df.groupBy(*groups, "_range").agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
     whole = Window.partitionBy(*groups)
-    ahead = whole.orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = (Window.unboundedPreceding, -1)
+    ahead = whole.orderBy(_direction("_range", descending)).rowsBetween(*before)
     offsets = per_range.select(
         *groups,
         "_range",
@@ -74,8 +99,8 @@ def running_totals(
         offsets = F.broadcast(offsets)  # at most `ranges` rows
     within = (
         Window.partitionBy(*groups, "_range")
-        .orderBy(*[direction(o) for o in order])
-        .rowsBetween(Window.unboundedPreceding, -1)
+        .orderBy(*[_direction(o, descending) for o in order])
+        .rowsBetween(*before)
     )
     return (
         df.join(offsets, [*groups, "_range"])
@@ -94,18 +119,27 @@ def exact_quantiles(
     value: Column | str,
     probs: dict[str, float],
     groups: Sequence[str] = (),
+    limit: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles, one column per name in ``probs``.
 
     One row per group (one row in all without groups); missing values are left out.
+    Distinct values are counted once; up to ``limit`` of them go to the built-in
+    exact percentile, more are ranked by ranges.
     """
     groups = list(groups)
     value = F.col(value) if isinstance(value, str) else value
     kept = df.select(*groups, value.cast("double").alias("_v")).where(
         " AND ".join(f"`{c}` IS NOT NULL" for c in ["_v", *groups])
     )
-    cells = kept.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("n"))
-    run = running_totals(cells, ["_v"], ["n"], groups)
+    cells = measured(
+        kept.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("n")),
+        TASK_ROWS if limit is None else limit,
+    )
+    if cells.small:
+        built_in = [F.percentile("_v", F.lit(p), F.col("n")).alias(k) for k, p in probs.items()]
+        return cells.df.groupBy(*groups).agg(*built_in)
+    run = _by_ranges(cells.df, ["_v"], ["n"], groups)
 
     def at(rank: Column) -> Column:
         inside = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
@@ -168,14 +202,16 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> Column:
     return counts.agg(F.struct(*best).alias("m")).scalar()
 
 
-def with_row_number(df: DataFrame, order: str, key: str, out: str) -> DataFrame:
+def with_row_number(
+    df: DataFrame, order: str, key: str, out: str, limit: int | None = None
+) -> DataFrame:
     """Numbers the rows 1..n by (order, key) without gathering them in one task.
 
     ``key`` is numeric and unique; equal ``order`` values are split by ranges of it.
     """
     ranged = with_range(df, key, "_key_range")
     cells = ranged.groupBy(order, "_key_range").agg(F.count(F.lit(1)).alias("_n"))
-    run = running_totals(cells, [order, "_key_range"], ["_n"]).select(
+    run = running_totals(cells, [order, "_key_range"], ["_n"], limit=limit).select(
         order, "_key_range", "_n_before"
     )
     within = Window.partitionBy(order, "_key_range").orderBy(key)

@@ -50,3 +50,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, kept when executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """The rows as a columnar table in the shared folder, for several narrow passes."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,8 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SPREAD = ("lineitem", "orders")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A table; a big one that comes in fewer splits than there are cores is spread.
+
+    A single small file with one row group would otherwise be one task. Tables of
+    many files keep their splits.
+    """
+    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def _lines_with_orders(spark: SparkSession, folder: str) -> DataFrame:

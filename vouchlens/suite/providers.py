@@ -86,6 +86,7 @@ QUERIES = {
         "final_risk_score",
         "supplier",
         "risk_rank",
+        limit=0,
     ).select("supplier", "risk_rank"),
     "R8_alerts": lambda s, d: _tidy(op.alert_rows(_alerted(s, d), "supplier")),
     "R8_alerts_other_thresholds": lambda s, d: _tidy(

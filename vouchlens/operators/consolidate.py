@@ -163,9 +163,7 @@ def breakdown(scored: DataFrame, r: PaymentRoles, s: Settings) -> DataFrame:
     return _long(counts, rows, "detector", "rule", "cases")
 
 
-def detector_attributes(
-    found: DataFrame, df: DataFrame, r: PaymentRoles, s: Settings
-) -> DataFrame:
+def detector_attributes(df: DataFrame, r: PaymentRoles, s: Settings) -> DataFrame:
     """Extra attributes of the detectors in long form (detector, attribute, value)."""
     low_d, high_d = s.discount_bounds
     low_p, high_p = s.penalty_bounds
@@ -181,7 +179,7 @@ def detector_attributes(
         F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)])
         for row in fixed_rows
     ]
-    fixed = _long(found.agg(F.count(F.lit(1)).alias("n")), literals, *names)
+    fixed = _long(df.agg(F.count(F.lit(1)).alias("n")), literals, *names)
 
     stats = duplicate_summary(duplicate_groups(df, r))
     groups = _long(

@@ -42,7 +42,7 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     There are fewer than HOT_SHARE of them, whatever the data.
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
+    total = rows.agg(F.count(F.lit(1))).scalar()
     return cut_lineage(counts.where(F.col("_n") * HOT_SHARE > total).select(key))
 
 

@@ -6,26 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-SPREAD = ("lineitem", "orders")
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table; a big one that comes in fewer splits than there are cores is spread.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hashed over the cores if it comes in fewer splits than there are cores.
 
-    A single small file with one row group would otherwise be one task. Tables of
-    many files keep their splits.
+    A single small file with one row group would otherwise be one task. A table of
+    many files keeps its splits and is not shuffled.
     """
-    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def _lines_with_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").join(
-        table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    lines = spread(table(spark, folder, "lineitem"), "l_orderkey")
+    return lines.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def _line_value() -> Column:
@@ -166,7 +163,7 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
         "Otro",
     ]
     priority = F.substring("o_orderpriority", 1, 1).cast("int") - 1
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders"), "o_orderkey").select(
         F.col("o_orderkey").alias("case_id"),
         F.get(F.array(*[F.lit(k) for k in kinds]), priority).alias("type"),
         F.get(F.array(F.lit("Bajo"), F.lit("Medio"), F.lit("Alto")), (F.col("o_custkey") % 3).cast("int")).alias(
@@ -188,7 +185,7 @@ def policy_documents(spark: SparkSession, folder: str) -> DataFrame:
     A document carries the policy of its customer's segment and one transaction,
     whose related ids are the neighbouring orders.
     """
-    o = table(spark, folder, "orders").join(
+    o = spread(table(spark, folder, "orders"), "o_orderkey").join(
         table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left"
     )
     key, segment = F.col("o_orderkey"), F.coalesce(F.col("c_mktsegment"), F.lit("NONE"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vouchlens.operators import approvers, consolidate, duplicates, outliers, row_rules
 from vouchlens.roles import PaymentRoles
+from vouchlens.session import written_once
 from vouchlens.sources.role_views import payments
 from vouchlens.suite.sql import AS_OF, PAYMENTS, exact_mean, exact_sum, pct
 
@@ -17,12 +18,21 @@ S = consolidate.Settings(as_of=date.fromisoformat(AS_OF), patterns=tuple(PATTERN
 KEY = ["id", "part"]
 
 
+def _table(spark, folder):
+    """The joined payments as a table, as a detection run reads them several times."""
+    return written_once(payments(spark, folder))
+
+
 def _found(spark, folder):
-    return consolidate.detect_all(payments(spark, folder), R, S)
+    return consolidate.detect_all(_table(spark, folder), R, S)
 
 
 def _scored(spark, folder):
-    return consolidate.detect_with_scores(payments(spark, folder), R, S)
+    return consolidate.detect_with_scores(_table(spark, folder), R, S)
+
+
+def _approver_statistics(df):
+    return approvers.with_median(approvers.approver_statistics(df, R), df, R)
 
 
 def _flag(make, name):
@@ -79,16 +89,14 @@ QUERIES = {
         "id", "differences"
     ),
     "D3_duplicate_text": _detector(lambda p: duplicates.detect_duplicates(p, R), "duplicate"),
-    "D4_duplicate_report": lambda s, d: duplicates.duplicate_report(payments(s, d), R),
+    "D4_duplicate_report": lambda s, d: duplicates.duplicate_report(_table(s, d), R),
     "D5_duplicate_summary": lambda s, d: duplicates.duplicate_summary(
         duplicates.duplicate_groups(payments(s, d), R)
     ),
     "D6_critical_duplicates": lambda s, d: duplicates.critical_duplicates(
         duplicates.duplicate_groups(payments(s, d), R)
     ).select("id", "duplicate_count"),
-    "D7_approver_statistics": lambda s, d: approvers.with_median(
-        approvers.approver_statistics(payments(s, d), R), payments(s, d), R
-    ).withColumns(
+    "D7_approver_statistics": lambda s, d: _approver_statistics(_table(s, d)).withColumns(
         {"std_amount": F.round("std_amount", 4), "median_amount": F.round("median_amount", 6)}
     ),
     "D8_atypical_approvers": lambda s, d: approvers.judged_approvers(
@@ -98,14 +106,14 @@ QUERIES = {
         "approver", approvers.suspicious_name(F.col("approver"), PATTERNS).alias("suspicious_name")
     ),
     "D10_approver_rows": _detector(lambda p: approvers.detect_approvers(p, R, PATTERNS), "approver"),
-    "D11_approver_report": lambda s, d: approvers.approver_report(payments(s, d), R, PATTERNS)
+    "D11_approver_report": lambda s, d: approvers.approver_report(_table(s, d), R, PATTERNS)
     .withColumns(
         {"std_amount": F.round("std_amount", 4), "median_amount": F.round("median_amount", 6)}
     ),
     "D12_global_z_score": lambda s, d: outliers.with_global_z(payments(s, d), "amount").select(
         *KEY, F.round("z_score_global", 6).alias("z_score_global")
     ),
-    "D13_group_z_scores": lambda s, d: outliers.with_z_scores(payments(s, d), R).select(
+    "D13_group_z_scores": lambda s, d: outliers.with_z_scores(_table(s, d), R).select(
         *KEY,
         F.round("z_score_by_provider", 6).alias("z_score_by_provider"),
         F.round("z_score_by_approver", 6).alias("z_score_by_approver"),
@@ -123,9 +131,7 @@ QUERIES = {
     ),
     "C3_detector_statistics": lambda s, d: consolidate.detector_statistics(_found(s, d)),
     "C4_breakdown": lambda s, d: consolidate.breakdown(_scored(s, d), R, S),
-    "C5_detector_attributes": lambda s, d: consolidate.detector_attributes(
-        payments(s, d), payments(s, d), R, S
-    ),
+    "C5_detector_attributes": lambda s, d: consolidate.detector_attributes(_table(s, d), R, S),
     "C6_global_statistics": lambda s, d: consolidate.global_statistics(_found(s, d)),
     "C6_anomaly_distribution": lambda s, d: consolidate.anomaly_distribution(_found(s, d)),
     "C7_top_anomalies": lambda s, d: consolidate.top_anomalies(_found(s, d), R, 10, ("part",)).select(
@@ -138,7 +144,7 @@ QUERIES = {
     ).select(F.round("total_impact", 4).alias("total_impact")),
     "C11_other_parameters": lambda s, d: consolidate.detector_statistics(
         consolidate.detect_all(
-            payments(s, d),
+            _table(s, d),
             R,
             consolidate.Settings(
                 as_of=S.as_of,

@@ -124,22 +124,16 @@ def exact_quantiles(
     """Linear-interpolated quantiles, one column per name in ``probs``.
 
     One row per group (one row in all without groups); missing values are left out.
-    Distinct values are counted once; up to ``limit`` of them go to the built-in
-    exact percentile, more are ranked by ranges.
+    Distinct values are counted, so a value held by many rows is one row, and ranked
+    by their running count.
     """
     groups = list(groups)
     value = F.col(value) if isinstance(value, str) else value
     kept = df.select(*groups, value.cast("double").alias("_v")).where(
         " AND ".join(f"`{c}` IS NOT NULL" for c in ["_v", *groups])
     )
-    cells = measured(
-        kept.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("n")),
-        TASK_ROWS if limit is None else limit,
-    )
-    if cells.small:
-        built_in = [F.percentile("_v", F.lit(p), F.col("n")).alias(k) for k, p in probs.items()]
-        return cells.df.groupBy(*groups).agg(*built_in)
-    run = _by_ranges(cells.df, ["_v"], ["n"], groups)
+    cells = kept.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("n"))
+    run = running_totals(cells, ["_v"], ["n"], groups, limit=limit)
 
     def at(rank: Column) -> Column:
         inside = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))

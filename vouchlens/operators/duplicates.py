@@ -55,25 +55,47 @@ def detect_duplicates(df: DataFrame, r: PaymentRoles) -> DataFrame:
     ).drop("duplicate_count", "differences")
 
 
-def duplicate_report(df: DataFrame, r: PaymentRoles) -> DataFrame:
-    """The groups with their distinct approvers and amounts as sorted lists.
+def duplicate_values(df: DataFrame, r: PaymentRoles) -> DataFrame:
+    """(id, column, value): the distinct approvers and amounts of each group.
 
-    The lists are built from values counted apart first, so a group of many copies
-    reaches the list step as its distinct values only.
+    One row per value instead of a list per group, as a group may be any size.
     """
+    repeated = (
+        df.where(F.col(r.id).isNotNull())
+        .groupBy(r.id)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where("_n > 1")
+    )
+    values = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+            for c in (r.approver, r.amount)
+        ]
+    )
+    distinct = (
+        df.select(r.id, F.explode(values).alias("x"))
+        .select(r.id, "x.column", "x.value")
+        .where(F.col("value").isNotNull())
+        .distinct()
+    )
+    marked = lookup_split(distinct, repeated, r.id)
+    return marked.where(F.col("_n").isNotNull()).drop("_n")
 
-    def listed(column: str, out: str) -> DataFrame:
-        distinct = df.where(F.col(column).isNotNull()).groupBy(r.id, column).agg(
-            F.count(F.lit(1)).alias("_n")
-        )
-        return distinct.groupBy(r.id).agg(
-            F.array_join(F.sort_array(F.collect_list(F.col(column))).cast("array<string>"), ", ").alias(out)
-        )
 
+def duplicate_report(df: DataFrame, r: PaymentRoles) -> DataFrame:
+    """The groups with the number of distinct approvers and amounts."""
+    counts = (
+        duplicate_values(df, r)
+        .groupBy(r.id)
+        .agg(
+            F.count_if(F.col("column") == r.approver).alias("approvers"),
+            F.count_if(F.col("column") == r.amount).alias("amounts"),
+        )
+    )
     return (
         duplicate_groups(df, r)
-        .join(listed(r.approver, "approvers"), r.id, "left")
-        .join(listed(r.amount, "amounts"), r.id, "left")
+        .join(counts, r.id, "left")
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("approvers", "amounts")})
     )
 
 

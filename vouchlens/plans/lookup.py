@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouchlens.session import cut_lineage
+from vouchlens.session import cut_lineage, written_once
 
 BROADCAST_ROWS = 100_000
 HOT_SHARE = 1_000
@@ -24,7 +24,7 @@ class Measured:
 def measured(stats: DataFrame, limit: int | None = None) -> Measured:
     """Computes the table (reliable checkpoint) and counts it up to the limit."""
     limit = BROADCAST_ROWS if limit is None else limit
-    known = cut_lineage(stats)
+    known = written_once(stats)
     return Measured(known, known.limit(limit + 1).count() <= limit)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vouchlens.operators import features, metrics, training
-from vouchlens.session import cut_lineage, scratch_path
+from vouchlens.session import written_once, scratch_path
 from vouchlens.sources.role_views import history, predictions
 from vouchlens.suite.history import KEY, settings
 from vouchlens.suite.sql import HISTORY
@@ -41,7 +41,7 @@ def prepared(s, d, fold=False):
     # an MLlib input may not hold dots or blanks in its column names
     names = fitted.names(rows)
     safe = {c: f"f{i}" for i, c in enumerate(names)}
-    rows = cut_lineage(rows.withColumnsRenamed(safe))
+    rows = written_once(rows.withColumnsRenamed(safe))
     return rows, list(safe.values()), names
 
 

@@ -90,6 +90,7 @@ QUERIES = {
     ),
     "D3_duplicate_text": _detector(lambda p: duplicates.detect_duplicates(p, R), "duplicate"),
     "D4_duplicate_report": lambda s, d: duplicates.duplicate_report(_table(s, d), R),
+    "D4_duplicate_values": lambda s, d: duplicates.duplicate_values(_table(s, d), R),
     "D5_duplicate_summary": lambda s, d: duplicates.duplicate_summary(
         duplicates.duplicate_groups(payments(s, d), R)
     ),
@@ -453,12 +454,13 @@ SQL |= {
         ],
     ),
     "D4_duplicate_report": CHAIN
-    + """SELECT dup.id, copies AS duplicate_count, differences, different_approvers, different_amounts,
-        string_agg(DISTINCT approver, ', ' ORDER BY approver) AS approvers, any_value(a.amounts) AS amounts
-      FROM dup JOIN payments ON payments.id = dup.id
-      JOIN (SELECT id, array_to_string(list_transform(list_sort(list(DISTINCT amount)), lambda x: CAST(x AS VARCHAR)), ', ') AS amounts
-            FROM payments GROUP BY id) a ON a.id = dup.id
-      GROUP BY ALL""",
+    + """SELECT dup.id, any_value(copies) AS duplicate_count, any_value(differences) AS differences,
+        any_value(different_approvers) AS different_approvers, any_value(different_amounts) AS different_amounts,
+        count(DISTINCT approver) AS approvers, count(DISTINCT amount) AS amounts
+      FROM dup JOIN payments ON payments.id = dup.id GROUP BY dup.id""",
+    "D4_duplicate_values": CHAIN
+    + """SELECT DISTINCT id, 'approver' AS "column", approver AS value FROM payments JOIN dup USING (id)
+      UNION ALL SELECT DISTINCT id, 'amount', CAST(amount AS VARCHAR) FROM payments JOIN dup USING (id)""",
     "D5_duplicate_summary": CHAIN
     + """SELECT count(*) AS total_duplicate_groups,
         count(*) FILTER (different_approvers) AS groups_with_different_approvers,

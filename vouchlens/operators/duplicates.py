@@ -72,14 +72,14 @@ def duplicate_values(df: DataFrame, r: PaymentRoles) -> DataFrame:
             for c in (r.approver, r.amount)
         ]
     )
-    distinct = (
-        df.select(r.id, F.explode(values).alias("x"))
+    narrow = df.select(r.id, r.approver, r.amount)
+    copies = lookup_split(narrow, repeated, r.id).where(F.col("_n").isNotNull())
+    return (
+        copies.select(r.id, F.explode(values).alias("x"))
         .select(r.id, "x.column", "x.value")
         .where(F.col("value").isNotNull())
         .distinct()
     )
-    marked = lookup_split(distinct, repeated, r.id)
-    return marked.where(F.col("_n").isNotNull()).drop("_n")
 
 
 def duplicate_report(df: DataFrame, r: PaymentRoles) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchlens.llm import bpe, decontaminate, pii, token_counts, toxicity, url_rules
+from vouchlens.llm import bpe, decontaminate, pii, ppm, token_counts, toxicity, url_rules
 from vouchlens.llm.common import remainder, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -23,6 +23,19 @@ def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined")
 
 
+def op3_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = ppm.score_texts(table(spark, folder, "documents"), remainder("doc_id", 10) != 0)
+    return scored.select(
+        "doc_id",
+        (~F.col("learned")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = toxicity.fit(toxicity.labelled_texts(docs, labels))
@@ -70,6 +83,7 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_rules": op1_url_rules,
+    "op3_lm_scores": op3_lm_scores,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_pii": op7_pii,

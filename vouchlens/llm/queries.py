@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchlens.llm import bpe, decontaminate, pii, ppm, token_counts, toxicity, url_rules
+from vouchlens.llm import ann, bpe, decontaminate, pii, ppm, token_counts, toxicity, url_rules
 from vouchlens.llm.common import remainder, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -81,6 +81,10 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op3_lm_scores": op3_lm_scores,
@@ -89,6 +93,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_decontamination": op9_decontamination,
+    "op10_nearest": op10_nearest,
 }
 
 SQL = {

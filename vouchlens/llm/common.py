@@ -38,6 +38,25 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[dict], dict]) -> DataFr
     return df.mapInArrow(run, schema)
 
 
+def word_keys(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit key and start of each word: a stretch of bytes between those where ``gap`` holds.
+
+    ``data`` begins and ends with a gap. A word's key is its polynomial hash, read from
+    running sums, so no word is looked at by itself.
+    """
+    start = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
+    end = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
+    summed = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(LETTER[data] * powers(STEP, len(data)), out=summed[1:])
+    return mix64((summed[end] - summed[start]) * powers(BACK, len(data))[start]), start
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -54,3 +73,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+#: For the hash of words: a number for each byte, an odd base and its inverse modulo 2^64.
+LETTER = mix64(np.arange(1, 257, dtype=np.uint64))
+STEP = 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 1 << 64)
+#: A-Z lower-cased in bytes, and the bytes that part words.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vouchlens.llm.common import mix64, shuffle_partitions
+from vouchlens.llm.common import LOWER, WHITE, mix64, shuffle_partitions, word_keys
 from vouchlens.session import written_once
 
 ORDER = 5
@@ -30,19 +30,8 @@ BLOCK, PART = 24 << 20, 1 << 20
 #: The key of the token that ends a text.
 END = np.uint64(1)
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-GAP = np.zeros(256, bool)
-GAP[[9, 10, 11, 12, 13, 32, BEFORE, AFTER]] = True
-LETTER = mix64(np.arange(1, 257, dtype=np.uint64))
-STEP = 0x9E3779B97F4A7C15
-BACK = pow(STEP, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+GAP = WHITE.copy()
+GAP[[BEFORE, AFTER]] = True
 
 
 class Part:
@@ -60,12 +49,7 @@ class Part:
             code = code << 8 | b[k : n - ORDER + k]
         self.codes = code[b[ORDER:] != BEFORE]  # one for each byte and end
         self.per_text = size + 1
-        gap = GAP[b]
-        start = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
-        end = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
-        summed = np.zeros(n + 1, np.uint64)
-        np.cumsum(LETTER[b] * powers(STEP, n), out=summed[1:])
-        self.words = mix64((summed[end] - summed[start]) * powers(BACK, n)[start])
+        self.words, start = word_keys(b, GAP[b])
         self.text_of_word = np.searchsorted(first, start, side="right") - 1
 
 

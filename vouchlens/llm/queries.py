@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchlens.llm import ann, bpe, decontaminate, pii, ppm, token_counts, toxicity, url_rules
+from vouchlens.llm import ann, bpe, decontaminate, jaccard, pii, ppm, token_counts, toxicity, url_rules
 from vouchlens.llm.common import remainder, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -23,6 +23,11 @@ def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined")
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    settings = jaccard.Settings(words=4, percent=85)
+    return jaccard.similarity_join(table(spark, folder, "documents"), settings)
+
+
 def op3_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     scored = ppm.score_texts(table(spark, folder, "documents"), remainder("doc_id", 10) != 0)
     return scored.select(
@@ -87,6 +92,7 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_rules": op1_url_rules,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_lm_scores": op3_lm_scores,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,

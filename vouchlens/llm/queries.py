@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchlens.llm import ann, bpe, decontaminate, jaccard, pii, ppm, token_counts, toxicity, url_rules
+from vouchlens.llm import ann, bpe, decontaminate, jaccard, pii, ppm, suffix_dedup, token_counts, toxicity, url_rules
 from vouchlens.llm.common import remainder, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -41,6 +41,18 @@ def op3_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        length.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = toxicity.fit(toxicity.labelled_texts(docs, labels))
@@ -94,6 +106,7 @@ QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_lm_scores": op3_lm_scores,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_pii": op7_pii,

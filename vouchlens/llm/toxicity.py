@@ -243,3 +243,17 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             )
 
     return texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, with all their columns; a null text is judged as empty."""
+    place = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(model.places, model.slot)
+        for batch in batches:
+            if batch.num_rows:
+                got = model.scores([terms.of_text(t or "") for t in batch.column(place).to_pylist()])
+                yield batch.filter(pa.array(got < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

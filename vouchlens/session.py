@@ -25,19 +25,19 @@ def local_session(app: str = "vouchlens", cores: str = "*", partitions: int = 8)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where the setting is missing (a test on one machine) a fresh local
-    folder takes its place.
+    Only where both are missing (a test on one machine) a fresh local folder takes
+    their place.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="vouchlens-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 

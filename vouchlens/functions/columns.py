@@ -87,6 +87,12 @@ def present(entries: list[Column]) -> Column:
 
 
 def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """Bin 0..bins-1; the last bin holds its upper edge."""
+    """Bin 0..bins-1; the last bin holds its upper edge, a missing value has none."""
     raw = F.floor((value - low) * F.lit(float(bins)) / (high - low))
-    return F.when(high == low, F.lit(bins // 2)).otherwise(F.least(raw, F.lit(bins - 1))).cast("bigint")
+    found = F.when(high == low, F.lit(bins // 2)).otherwise(F.least(raw, F.lit(bins - 1))).cast("bigint")
+    return F.when(value.isNotNull(), found)
+
+
+def clipped(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """The value within bounds; a missing one stays missing."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))

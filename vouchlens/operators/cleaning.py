@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vouchlens.functions.columns import any_of, flag, share
+from vouchlens.functions.columns import any_of, clipped, flag, share
 from vouchlens.plans.ordered import column_modes, column_quantiles
 from vouchlens.roles import VALID_CATEGORIES, HistoryRoles
 from vouchlens.session import written_once
@@ -119,8 +119,7 @@ def outlier_details(
 
 def valid_ranges(df: DataFrame, r: HistoryRoles) -> DataFrame:
     """Scores clipped to [0, 1]; rows without a positive time go."""
-    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(r.score)))
-    return df.withColumn(r.score, clipped).where(~flag(F.col(r.time) <= 0))
+    return df.withColumn(r.score, clipped(F.col(r.score))).where(~flag(F.col(r.time) <= 0))
 
 
 def quality(df: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ def score_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
         for c in (0, 1)
     }
     e = F.when(F.col(LABEL) == 0, by_class[0]).otherwise(by_class[1])
-    binned = df.where(F.col(LABEL).isin(0, 1)).withColumn("_e", e)
+    binned = df.where(F.col(LABEL).isin(0, 1) & F.col(SCORE).isNotNull()).withColumn("_e", e)
     return (
         binned.withColumn("bin", equal_width_bin(F.col(SCORE), F.col("_e.lo"), F.col("_e.hi"), bins))
         .groupBy(LABEL, "bin")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vouchlens.functions.columns import (
     UNIT,
+    clipped,
     equal_width_bin,
     fixed,
     flag,
@@ -76,7 +77,7 @@ def recent_performance(df: DataFrame, r: HistoryRoles, recent_days: int = RECENT
     last = F.max(r.date).over(Window.partitionBy(r.supplier))
     return (
         daily.withColumn("_last", last)
-        .where(F.col(r.date) >= F.date_sub("_last", recent_days))
+        .where(F.col(r.date) >= F.col("_last") - F.expr(f"INTERVAL {int(recent_days)} DAYS"))
         .groupBy(r.supplier)
         .agg(F.try_divide(F.sum("_s").cast("double"), F.sum("_n")).alias("recent_performance"))
     )
@@ -84,7 +85,7 @@ def recent_performance(df: DataFrame, r: HistoryRoles, recent_days: int = RECENT
 
 def final_score(weights: Mapping[str, float]) -> Column:
     total = sum(F.col(name) * w for name, w in weights.items())
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
+    return clipped(total)
 
 
 def risk_category(score: Column) -> Column:
@@ -316,7 +317,8 @@ def score_histogram(scores: DataFrame, bins: int = 30) -> DataFrame:
         F.struct(F.min("final_risk_score").alias("lo"), F.max("final_risk_score").alias("hi"))
     ).scalar()
     return (
-        scores.withColumn("_e", edges)
+        scores.where(F.col("final_risk_score").isNotNull())
+        .withColumn("_e", edges)
         .withColumn(
             "bin", equal_width_bin(F.col("final_risk_score"), F.col("_e.lo"), F.col("_e.hi"), bins)
         )

@@ -31,14 +31,14 @@ def read_csv(spark: SparkSession, path: str, schema: str, names: list[str] | Non
     """A CSV with a header, whose columns may come in any order.
 
     ``names`` is the order in the file; columns the schema lacks are read as text
-    and dropped.
+    and dropped. A file of the folder with another header is an error when it is read.
     """
     wanted = spark.createDataFrame([], schema).schema
     if names is None:
         names = [f.name for f in wanted.fields]
     types = {f.name: f.dataType.simpleString() for f in wanted.fields}
     in_file = ", ".join(f"`{n}` {types.get(n, 'string')}" for n in names)
-    df = spark.read.csv(path, schema=in_file, header=True, quote='"', escape='"')
+    df = spark.read.csv(path, schema=in_file, header=True, enforceSchema=False, quote='"', escape='"')
     return df.select(*[n for n in names if n in types])
 
 

@@ -21,21 +21,13 @@ def _r(df):
     return df.withColumns({c: F.round(c, 8) for c, t in df.dtypes if t == "double"})
 
 
-# Smaller forests than the defaults, so that a check of all queries stays short.
-QUICK = {
-    training.LOGISTIC: {**training.DEFAULTS[training.LOGISTIC], "max_iter": 50},
-    training.FOREST: {**training.DEFAULTS[training.FOREST], "n_estimators": 10, "max_depth": 5},
-    training.BOOSTING: {**training.DEFAULTS[training.BOOSTING], "n_estimators": 5, "max_depth": 3},
-}
-
-
 def prepared(s, d, fold=False):
     """Features, target and split (or folds) of the whole history."""
     h = history(s, d)
     fitted = features.fit_features(h, settings())
     rows = fitted.transform(h)
     if fold:
-        rows = features.time_folds(rows, "date", KEY, folds=3)
+        rows = features.time_folds(rows, "date", KEY, folds=5)
     else:
         rows = features.temporal_split(rows, "date", KEY)
     # an MLlib input may not hold dots or blanks in its column names
@@ -46,13 +38,13 @@ def prepared(s, d, fold=False):
 
 
 def _settings(columns, models=None):
-    return training.TrainingSettings(features=columns, models=models or QUICK)
+    return training.TrainingSettings(features=columns, models=models or training.DEFAULTS)
 
 
 def _trained(name):
     def query(s, d):
         rows, columns, _ = prepared(s, d)
-        model = training.train(rows.where("split = 'train'"), name, QUICK[name], _settings(columns))
+        model = training.train(rows.where("split = 'train'"), name, training.DEFAULTS[name], _settings(columns))
         return training.evaluate({name: model}, rows, "risk_target")
 
     return query
@@ -65,22 +57,21 @@ def _all_models(s, d):
 
 
 def _train_all(s, d):
-    _, models, failures, _ = _all_models(s, d)
-    done = [(n, "trained", "") for n in models] + [(n, "failed", e) for n, e in failures.items()]
-    return s.createDataFrame(done, "model string, state string, message string")
+    rows, models, failures, _ = _all_models(s, d)
+    failed = s.createDataFrame(list(failures.items()), "model string, message string")
+    scored = training.evaluate(models, rows, "risk_target")
+    return scored.join(failed, "model", "full")
 
 
 def _search(s, d):
     rows, columns, _ = prepared(s, d, fold=True)
-    points = training.grid_points(training.GRIDS[training.LOGISTIC], sample=2)
-    quick = [{**p, "max_iter": 20} for p in points]
-    return training.search(rows, training.LOGISTIC, quick, _settings(columns))
+    return training.search(rows, training.LOGISTIC, training.grid_points(training.GRIDS[training.LOGISTIC]), _settings(columns))
 
 
 def _importance(s, d):
     rows, columns, names = prepared(s, d)
     name = training.FOREST
-    model = training.train(rows.where("split = 'train'"), name, QUICK[name], _settings(columns))
+    model = training.train(rows.where("split = 'train'"), name, training.DEFAULTS[name], _settings(columns))
     return training.feature_importance(model, names)
 
 
@@ -92,7 +83,7 @@ def _end_to_end(s, d):
 def _saved(s, d):
     rows, columns, _ = prepared(s, d)
     name = training.LOGISTIC
-    model = training.train(rows.where("split = 'train'"), name, QUICK[name], _settings(columns))
+    model = training.train(rows.where("split = 'train'"), name, training.DEFAULTS[name], _settings(columns))
     folder = scratch_path(s, "models")
     training.save_models({name: model}, folder)
     again = training.load_model(folder, name)

@@ -24,6 +24,8 @@ from vouchlens.llm.common import texts
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose terms a task remembers before it starts anew (results don't depend on it).
 REMEMBERED = 1_000_000
+#: Labels of two numbers each that are sent to every executor at most.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -220,6 +222,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_column: str = "toxi
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
         .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     )
+    if marks.count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)  # else the texts meet the labels in a shuffle
     return texts(docs).join(marks, "doc_id")
 
 

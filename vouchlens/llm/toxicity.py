@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vouchlens.llm.common import texts
+from vouchlens.session import written_once
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose terms a task remembers before it starts anew (results don't depend on it).
@@ -132,21 +133,19 @@ def class_counts(labelled: DataFrame, settings: Settings) -> DataFrame:
     return counted.groupBy("place", "label").agg(F.sum("n").alias("n"))
 
 
-def kept_places(counts: list, settings: Settings) -> np.ndarray:
-    """Places whose frequency differs between the classes; ``counts``: at most two rows a place."""
-    n = np.zeros((2, settings.places))
-    total = np.zeros(2)
-    for place, label, rows in counts:
-        if place < 0:
-            total[label] = rows
-        else:
-            n[label, place] = rows
-    if not total.all():
-        return np.empty(0, np.int64)
-    share = n.sum(0) / total.sum()
-    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / total).sum())
-    z = (n[1] / total[1] - n[0] / total[0]) / spread
-    return np.flatnonzero((n.sum(0) >= settings.min_rows) & (np.abs(z) >= settings.min_z))
+def kept_places(counts: DataFrame, total: dict[int, int], settings: Settings) -> list[int]:
+    """Places whose frequency differs between the classes, chosen where the counts are."""
+    if not (total.get(0) and total.get(1)):
+        return []
+    rows = total[0] + total[1]
+    n = F.sum("n")
+    toxic = F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0))
+    share = n / F.lit(rows)
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * F.lit(1 / total[0] + 1 / total[1]))
+    z = (toxic / F.lit(total[1]) - (n - toxic) / F.lit(total[0])) / spread
+    by_place = counts.where("place >= 0").groupBy("place").agg(n.alias("n"), z.alias("z"))
+    kept = by_place.where((F.col("n") >= settings.min_rows) & (F.abs("z") >= settings.min_z))
+    return sorted(r.place for r in kept.select("place").collect())
 
 
 def sample_terms(labelled: DataFrame, slot: dict[int, int], share: float, settings: Settings) -> DataFrame:
@@ -168,16 +167,16 @@ def sample_terms(labelled: DataFrame, slot: dict[int, int], share: float, settin
 def fit(labelled: DataFrame, settings: Settings | None = None) -> Model:
     """A model from rows (doc_id, text, label 0 or 1).
 
-    The driver holds two counts a place and the kept terms of at most about
+    The driver holds the kept places and the kept terms of at most about
     ``max_rows`` rows (a share of all, by hash); without rows of both labels the model
     scores every text with the share of label 1 (0 without any rows).
     """
     settings = settings or Settings()
-    counts = class_counts(labelled, settings).collect()
-    total = {label: n for place, label, n in counts if place < 0}
+    counts = written_once(class_counts(labelled, settings))
+    total = {r.label: r.n for r in counts.where("place < 0").collect()}
     rows = sum(total.values())
-    kept = kept_places(counts, settings)
-    slot = {int(p): i for i, p in enumerate(kept)}
+    kept = kept_places(counts, total, settings)
+    slot = {p: i for i, p in enumerate(kept)}
     rng = np.random.default_rng(settings.seed)
     weights = np.hstack([np.zeros((len(kept), 1)), rng.normal(0, 0.02, (len(kept), settings.factors))])
     mean = (total.get(1, 0) + 1e-3) / (rows + 2e-3) if total.get(1) else 1e-3

@@ -149,19 +149,19 @@ def kept_places(counts: DataFrame, total: dict[int, int], settings: Settings) ->
 
 
 def sample_terms(labelled: DataFrame, slot: dict[int, int], share: float, settings: Settings) -> DataFrame:
-    """Label and term slots of a share of the rows, chosen by a hash of the id."""
+    """Label and term slots (32-bit numbers as bytes) of a share of the rows, chosen by a hash of the id."""
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(settings.places, slot)
         for batch in batches:
-            found = [terms.of_text(t) for t in batch.column(1).to_pylist()]
+            found = [terms.of_text(t).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(2), pa.array(found, pa.binary())],
                 names=["doc_id", "label", "terms"],
             )
 
-    return chosen.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, terms array<long>")
+    return chosen.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, terms binary")
 
 
 def fit(labelled: DataFrame, settings: Settings | None = None) -> Model:
@@ -186,7 +186,7 @@ def fit(labelled: DataFrame, settings: Settings | None = None) -> Model:
     share = min(1.0, settings.max_rows / rows)
     sample = sorted(sample_terms(labelled, slot, share, settings).collect())
     label = np.array([r.label for r in sample], float)
-    terms = [np.array(r.terms, np.int64) for r in sample]
+    terms = [np.frombuffer(r.terms, np.uint32) for r in sample]
     grown, grown_bias = np.full(weights.shape, 1e-4), 1e-8
     for _ in range(settings.rounds):
         order = rng.permutation(len(terms))

@@ -101,12 +101,12 @@ def test_one_document_per_file(spark, tmp_path):
     tx, pol = nested.transactions(docs), nested.policies(docs)
     kinds = nested.inconsistencies(tx, pol).collect()
     assert sorted((r.transaction_id, r.tipo_inconsistencia) for r in kinds) == [
-        (2, "EXCEDE_LIMITE"), (2, "FECHA_INVALIDA"), (3, "TERMINOS_INCOHERENTES"),
+        ("2", "EXCEDE_LIMITE"), ("2", "FECHA_INVALIDA"), ("3", "TERMINOS_INCOHERENTES"),
     ]
     over = next(r for r in kinds if r.tipo_inconsistencia == "EXCEDE_LIMITE")
     assert over.descripcion == "Monto $6000.25 excede límite $5000 para tipo 'small'"
     assert nested.duplicated_ids(tx).first().duplicados == 2
-    assert [tuple(r) for r in nested.broken_references(tx).collect()] == [(4, 99)]
+    assert [tuple(r) for r in nested.broken_references(tx).collect()] == [("4", 99)]
     assert [r.supplier_type for r in nested.unknown_supplier_types(tx, pol).collect()] == ["huge"]
     report = {tuple(r) for r in nested.structure_report(docs).collect()}
     assert ("documentos_invalidos", "0") in report

@@ -38,7 +38,7 @@ POLICY_SCHEMA = (
     "penalties: struct<late_payment: double>>"
 )
 TRANSACTION_SCHEMA = (
-    "struct<transaction_id: bigint, supplier_id: bigint, supplier_type: string, "
+    "struct<transaction_id: string, supplier_id: bigint, supplier_type: string, "
     "invoice_date: string, due_date: string, amount: double, payment_terms: string, "
     "status: string, metadata: struct<created_by: string, created_at: string, "
     "related_transactions: array<bigint>>>"
@@ -292,7 +292,7 @@ def policies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def transactions(docs: DataFrame) -> DataFrame:
-    """Flat transactions with lifted metadata; unreadable values become null."""
+    """Flat transactions with lifted metadata; ids stay texts as they come, other unreadable values become null."""
     typed = F.from_json("doc", f"struct<transactions: array<{TRANSACTION_SCHEMA}>>")
     t = docs.select(F.explode(typed.getField("transactions")).alias("t"))
     related = F.coalesce("t.metadata.related_transactions", F.array().cast("array<bigint>"))
@@ -358,7 +358,7 @@ def broken_targets(tx: DataFrame) -> DataFrame:
     rows point to is one row there.
     """
     targets = _references(tx).groupBy("referencia_rota").agg(F.count(F.lit(1)).alias("veces"))
-    known = tx.select(F.col("transaction_id").alias("referencia_rota")).distinct()
+    known = tx.select(F.col("transaction_id").try_cast("bigint").alias("referencia_rota")).distinct()
     return targets.join(known, "referencia_rota", "left_anti")
 
 

@@ -44,7 +44,8 @@ RECENT_DAYS = 90
 
 
 def mean_compliance(df: DataFrame, r: HistoryRoles) -> DataFrame:
-    return df.groupBy(r.supplier).agg(unit_mean(F.col(r.score)).alias("score_cumplimiento_avg"))
+    known = df.where(F.col(r.supplier).isNotNull())
+    return known.groupBy(r.supplier).agg(unit_mean(F.col(r.score)).alias("score_cumplimiento_avg"))
 
 
 def punctuality(df: DataFrame, r: HistoryRoles) -> Column:

@@ -133,7 +133,7 @@ def _n() -> Column:
 
 
 def by_size(df: DataFrame, r: SupplierRoles) -> DataFrame:
-    return df.groupBy(F.col(r.size).alias("tipo_empresa")).agg(
+    return df.where(F.col(r.size).isNotNull()).groupBy(F.col(r.size).alias("tipo_empresa")).agg(
         _mean("on_time_delivery").alias("entrega_puntual_media"),
         _std("on_time_delivery").alias("entrega_puntual_std"),
         _mean("quality_issues").alias("issues_calidad_media"),
@@ -148,7 +148,8 @@ def by_size(df: DataFrame, r: SupplierRoles) -> DataFrame:
 def size_ranking(df: DataFrame, r: SupplierRoles) -> DataFrame:
     mean = F.avg("score_performance").alias("score_performance")
     return (
-        df.groupBy(F.col(r.size).alias("tipo_empresa"))
+        df.where(F.col(r.size).isNotNull())
+        .groupBy(F.col(r.size).alias("tipo_empresa"))
         .agg(mean)
         .orderBy(F.desc("score_performance"), "tipo_empresa")
     )
@@ -157,7 +158,8 @@ def size_ranking(df: DataFrame, r: SupplierRoles) -> DataFrame:
 def by_country(df: DataFrame, r: SupplierRoles) -> DataFrame:
     credit = F.col(r.credit)
     return (
-        df.groupBy(F.col(r.country).alias("pais"))
+        df.where(F.col(r.country).isNotNull())
+        .groupBy(F.col(r.country).alias("pais"))
         .agg(
             _mean("score_riesgo").alias("riesgo_medio"),
             _std("score_riesgo").alias("riesgo_std"),
@@ -177,7 +179,8 @@ def by_country(df: DataFrame, r: SupplierRoles) -> DataFrame:
 def country_ranking(df: DataFrame, r: SupplierRoles) -> DataFrame:
     mean = F.avg("score_riesgo").alias("score_riesgo")
     return (
-        df.groupBy(F.col(r.country).alias("pais"))
+        df.where(F.col(r.country).isNotNull())
+        .groupBy(F.col(r.country).alias("pais"))
         .agg(mean)
         .orderBy(F.desc("score_riesgo"), "pais")
     )
@@ -302,7 +305,7 @@ def top_per_segment(df: DataFrame, r: SupplierRoles, n: int = 3) -> DataFrame:
 
 
 def risk_by_size(df: DataFrame, r: SupplierRoles) -> DataFrame:
-    return df.groupBy(F.col(r.size).alias("tipo_empresa")).agg(
+    return df.where(F.col(r.size).isNotNull()).groupBy(F.col(r.size).alias("tipo_empresa")).agg(
         _mean("score_riesgo").alias("riesgo_medio"),
         _std("score_riesgo").alias("riesgo_std"),
         F.bround(F.min("score_riesgo"), 2).alias("riesgo_min"),
@@ -313,7 +316,8 @@ def risk_by_size(df: DataFrame, r: SupplierRoles) -> DataFrame:
 
 def risk_by_country(df: DataFrame, r: SupplierRoles) -> DataFrame:
     return (
-        df.groupBy(F.col(r.country).alias("pais"))
+        df.where(F.col(r.country).isNotNull())
+        .groupBy(F.col(r.country).alias("pais"))
         .agg(
             _mean("score_riesgo").alias("riesgo_medio"),
             _mean("score_performance").alias("performance_medio"),
@@ -324,7 +328,7 @@ def risk_by_country(df: DataFrame, r: SupplierRoles) -> DataFrame:
 
 
 def declared_against_score(df: DataFrame, r: SupplierRoles) -> DataFrame:
-    return df.groupBy(F.col(r.category).alias("categoria")).agg(
+    return df.where(F.col(r.category).isNotNull()).groupBy(F.col(r.category).alias("categoria")).agg(
         _mean("score_riesgo").alias("score_medio"),
         F.bround(F.min("score_riesgo"), 2).alias("score_min"),
         F.bround(F.max("score_riesgo"), 2).alias("score_max"),

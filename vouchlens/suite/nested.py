@@ -55,7 +55,6 @@ QUERIES = {
     "J7_policies": lambda s, d: _pol(s, d),
     "J8_transactions": lambda s, d: _printed(_tx(s, d)).drop("days_until_due", "payment_terms_days"),
     "J9_derived_days": lambda s, d: _tx(s, d)
-    .where("transaction_id IS NOT NULL")
     .select(
         "transaction_id",
         F.coalesce("days_until_due", F.lit(-99999)).alias("days_until_due"),
@@ -66,12 +65,8 @@ QUERIES = {
     "J12_invalid_ranges": lambda s, d: op.invalid_ranges(_tx(s, d)),
     "J13_unknown_supplier_types": lambda s, d: op.unknown_supplier_types(_tx(s, d), _pol(s, d)),
     "J14_broken_targets": lambda s, d: op.broken_targets(_tx(s, d)),
-    "J14_broken_references": lambda s, d: op.broken_references(
-        _tx(s, d).where("transaction_id IS NOT NULL")
-    ),
-    "J14_first_broken_references": lambda s, d: op.first_broken_references(
-        _tx(s, d).where("transaction_id IS NOT NULL")
-    ),
+    "J14_broken_references": lambda s, d: op.broken_references(_tx(s, d)),
+    "J14_first_broken_references": lambda s, d: op.first_broken_references(_tx(s, d)),
     "J15_integrity_report": lambda s, d: op.integrity_report(_tx(s, d), _pol(s, d)),
     "J16_over_limit": lambda s, d: _flags(s, d, "EXCEDE_LIMITE").select(
         "descripcion", "supplier_type", "amount", "limite", "exceso"
@@ -81,7 +76,7 @@ QUERIES = {
         "descripcion", "supplier_type"
     ),
     "J19_inconsistencies": lambda s, d: op.inconsistencies(_tx(s, d), _pol(s, d)).select(
-        F.coalesce(F.col("transaction_id").cast("string"), F.lit("-")).alias("transaction_id"),
+        "transaction_id",
         "tipo_inconsistencia",
         "descripcion",
         "severidad",
@@ -100,7 +95,7 @@ QUERIES = {
 
 CHAIN = """WITH t AS (
   SELECT o_orderkey AS k, c_mktsegment AS segment, length(c_mktsegment) * 40000 AS limite0,
-    CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE o_orderkey END AS transaction_id, o_custkey AS supplier_id,
+    CASE WHEN o_orderkey % 101 = 0 THEN 'T' ELSE '' END || o_orderkey AS transaction_id, o_custkey AS supplier_id,
     CASE WHEN o_orderkey % 41 = 0 THEN 'UNLISTED' ELSE c_mktsegment END AS supplier_type,
     CAST(o_orderdate AS DATE) AS invoice_date,
     CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST((o_orderkey * 37) % 600 - 60 AS INTEGER) END AS due_date,
@@ -120,7 +115,7 @@ pol AS (SELECT segment AS supplier_type, CAST(length(segment) * 40000 AS DOUBLE)
 errs AS (SELECT k, 0 AS pos, 'transaction_id inválido: T' || k AS message FROM v WHERE k % 101 = 0
   UNION ALL SELECT k, 1, 'amount inválido en trans ' || CASE WHEN k % 101 = 0 THEN 'T' || k ELSE CAST(k AS VARCHAR) END FROM v WHERE k % 103 = 0),
 refs AS (SELECT k, transaction_id, unnest(related) AS referencia_rota FROM d),
-broken AS (SELECT * FROM refs WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.transaction_id = referencia_rota)),
+broken AS (SELECT * FROM refs WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.transaction_id = CAST(referencia_rota AS VARCHAR))),
 lim AS (SELECT d.*, authorization_limit AS limite FROM d LEFT JOIN pol USING (supplier_type)),
 inc AS (
   SELECT transaction_id, 'EXCEDE_LIMITE' AS tipo_inconsistencia,
@@ -180,7 +175,7 @@ SQL = {
         CAST(len(related) AS INTEGER) AS num_related_transactions, array_to_string(related, ',') AS related_transactions FROM d""",
     "J9_derived_days": CHAIN
     + """SELECT transaction_id, coalesce(days_until_due, -99999) AS days_until_due, coalesce(payment_terms_days, -1) AS payment_terms_days
-      FROM d WHERE transaction_id IS NOT NULL""",
+      FROM d""",
     "J10_duplicated_ids": CHAIN
     + "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicados FROM (SELECT count(*) AS n FROM d GROUP BY transaction_id HAVING count(*) > 1)",
     "J11_null_counts": CHAIN + f"SELECT * FROM ({_nulls}) WHERE nulos > 0",
@@ -190,9 +185,9 @@ SQL = {
     + "SELECT DISTINCT supplier_type FROM d WHERE supplier_type NOT IN (SELECT supplier_type FROM pol)",
     "J14_broken_targets": CHAIN + "SELECT referencia_rota, count(*) AS veces FROM broken GROUP BY 1",
     "J14_broken_references": CHAIN
-    + """SELECT transaction_id, referencia_rota FROM broken WHERE transaction_id IS NOT NULL""",
+    + "SELECT transaction_id, referencia_rota FROM broken",
     "J14_first_broken_references": CHAIN
-    + "SELECT transaction_id, referencia_rota FROM broken WHERE transaction_id IS NOT NULL ORDER BY 1, 2 LIMIT 10",
+    + "SELECT transaction_id, referencia_rota FROM broken ORDER BY 1, 2 LIMIT 10",
     "J15_integrity_report": CHAIN
     + f"""SELECT 'duplicados' AS check, 'transaction_id' AS item, CAST(coalesce(sum(n), 0) AS BIGINT) AS cases
         FROM (SELECT count(*) AS n FROM d GROUP BY transaction_id HAVING count(*) > 1)
@@ -205,7 +200,7 @@ SQL = {
     "J17_invalid_dates": CHAIN + _kinds.format("", "FECHA_INVALIDA"),
     "J18_incoherent_terms": CHAIN + _kinds.format("", "TERMINOS_INCOHERENTES"),
     "J19_inconsistencies": CHAIN
-    + """SELECT coalesce(CAST(transaction_id AS VARCHAR), '-') AS transaction_id, tipo_inconsistencia, descripcion, severidad, supplier_type,
+    + """SELECT transaction_id, tipo_inconsistencia, descripcion, severidad, supplier_type,
         limite, exceso FROM inc""",
     "J20_summary_totals": CHAIN
     + f"""SELECT count(*) AS total_transacciones, {exact_sum('amount')} AS monto_total, {exact_mean('amount')} AS monto_promedio,

@@ -37,6 +37,24 @@ def test_lookup_split_is_a_left_join(spark, skewed):
     assert rows(split.withColumn("s", F.round("s", 6))) == rows(plain.withColumn("s", F.round("s", 6)))
 
 
+def test_three_split_lookups_scan_the_rows_once(spark, skewed, tmp_path):
+    skewed.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    out, plain = stored, stored
+    for name in ("a", "b", "c"):
+        stats = skewed.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias(name))
+        out, plain = lk.lookup_split(out, stats, "k"), plain.join(stats, "k", "left")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+    assert rows(out) == rows(plain)
+
+
+def test_split_lookup_spreads_hot_and_missing_keys(spark, skewed):
+    stats = skewed.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))
+    split = lk.lookup_split(skewed, stats, "k")
+    assert "_spread" in split._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].split("\n")[0]
+
+
 def test_lookup_of_a_big_table_is_not_broadcast(spark, skewed, monkeypatch):
     stats = skewed.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))
     monkeypatch.setattr(lk, "BROADCAST_ROWS", 10)

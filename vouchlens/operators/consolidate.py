@@ -230,34 +230,33 @@ def top_anomalies(found: DataFrame, r: PaymentRoles, n: int = 10, ties: tuple[st
 
 
 def summary(scored: DataFrame, r: PaymentRoles, s: Settings) -> DataFrame:
-    """Everything the written report shows, as (section, item, cases)."""
-    overall = global_statistics(scored)
-    head = _long(
-        overall,
-        [
-            F.struct(F.lit("global").alias("section"), F.lit(c).alias("item"), F.col(c).alias("cases"))
-            for c in ("total_records", "records_with_anomalies", "records_clean")
-        ],
-        "section",
-        "item",
-        "cases",
-    )
-    per_detector = detector_statistics(scored).select(
-        F.lit("detector").alias("section"),
-        F.col("detector").alias("item"),
-        F.col("anomalies_found").alias("cases"),
-    )
-    per_rule = breakdown(scored, r, s).select(
-        F.concat(F.lit("breakdown."), F.col("detector")).alias("section"),
-        F.col("rule").alias("item"),
-        "cases",
+    """Everything the written report shows, as (section, item, cases), from one aggregation.
+
+    The rows are counted by their number of anomalies (nine groups at most); the totals
+    are sums over these groups.
+    """
+    named = [(f"breakdown.{d}", n, f) for d, flags in sub_rules(r, s).items() for n, f in flags.items()]
+    named += [("detector", d, F.col(f"{d}_has_anomaly")) for d in DETECTORS]
+    named += [
+        ("global", "total_records", F.lit(True)),
+        ("global", "records_with_anomalies", F.col("has_any_anomaly")),
+        ("global", "records_clean", ~F.col("has_any_anomaly")),
+    ]
+    cells = scored.groupBy("total_anomalies").agg(
+        F.count(F.lit(1)).alias("records"),
+        *[F.count_if(flag).alias(f"n{i}") for i, (_, _, flag) in enumerate(named)],
     )
-    spread = anomaly_distribution(scored).select(
-        F.lit("distribution").alias("section"),
-        F.col("total_anomalies").cast("string").alias("item"),
-        F.col("records").alias("cases"),
+
+    def row(section: Column, item: Column, cases: Column) -> Column:
+        return F.struct(section.alias("section"), item.alias("item"), cases.cast("bigint").alias("cases"))
+
+    group = row(F.lit("distribution"), F.col("total_anomalies").cast("string"), F.col("records"))
+    counts = cells.agg(
+        F.collect_list(group).alias("groups"),
+        *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(named))],
     )
-    return head.unionByName(per_detector).unionByName(per_rule).unionByName(spread)
+    totals = [row(F.lit(section), F.lit(item), F.col(f"n{i}")) for i, (section, item, _) in enumerate(named)]
+    return counts.select(F.explode(F.concat("groups", F.array(*totals))).alias("x")).select("x.section", "x.item", "x.cases")
 
 
 # --- financial impact -------------------------------------------------------

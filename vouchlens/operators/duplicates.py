@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from vouchlens.functions.columns import present, text
 from vouchlens.operators.row_rules import standard_columns
-from vouchlens.plans.lookup import lookup_split
+from vouchlens.plans.lookup import HOT_SHARE, lookup_split
 from vouchlens.roles import PaymentRoles
+from vouchlens.session import written_once
 
 
 def _differs(column: str) -> Column:
@@ -39,9 +40,15 @@ def duplicate_groups(df: DataFrame, r: PaymentRoles) -> DataFrame:
     )
 
 
+def _hot_ids(df: DataFrame, groups: DataFrame, r: PaymentRoles) -> DataFrame:
+    """Ids with more than 1/HOT_SHARE of the rows, from the counts that the groups hold."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return groups.where(F.col("duplicate_count") * HOT_SHARE > total).select(r.id)
+
+
 def detect_duplicates(df: DataFrame, r: PaymentRoles) -> DataFrame:
-    groups = duplicate_groups(df, r).select(r.id, "duplicate_count", "differences")
-    marked = lookup_split(df, groups, r.id)
+    groups = written_once(duplicate_groups(df, r).select(r.id, "duplicate_count", "differences"))
+    marked = lookup_split(df, groups, r.id, _hot_ids(df, groups, r))
     return standard_columns(
         marked,
         "duplicate",
@@ -55,17 +62,15 @@ def detect_duplicates(df: DataFrame, r: PaymentRoles) -> DataFrame:
     ).drop("duplicate_count", "differences")
 
 
-def duplicate_values(df: DataFrame, r: PaymentRoles) -> DataFrame:
+def duplicate_values(df: DataFrame, r: PaymentRoles, groups: DataFrame | None = None) -> DataFrame:
     """(id, column, value): the distinct approvers and amounts of each group.
 
     One row per value instead of a list per group, as a group may be any size.
+    ``groups`` is the table of ``duplicate_groups`` where the caller has it.
     """
-    repeated = (
-        df.where(F.col(r.id).isNotNull())
-        .groupBy(r.id)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-    )
+    if groups is None:
+        groups = written_once(duplicate_groups(df, r))
+    repeated = groups.select(r.id, F.col("duplicate_count").alias("_n"))
     values = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
@@ -73,7 +78,7 @@ def duplicate_values(df: DataFrame, r: PaymentRoles) -> DataFrame:
         ]
     )
     narrow = df.select(r.id, r.approver, r.amount)
-    copies = lookup_split(narrow, repeated, r.id).where(F.col("_n").isNotNull())
+    copies = lookup_split(narrow, repeated, r.id, _hot_ids(df, groups, r)).where(F.col("_n").isNotNull())
     return (
         copies.select(r.id, F.explode(values).alias("x"))
         .select(r.id, "x.column", "x.value")
@@ -84,8 +89,9 @@ def duplicate_values(df: DataFrame, r: PaymentRoles) -> DataFrame:
 
 def duplicate_report(df: DataFrame, r: PaymentRoles) -> DataFrame:
     """The groups with the number of distinct approvers and amounts."""
+    groups = written_once(duplicate_groups(df, r))
     counts = (
-        duplicate_values(df, r)
+        duplicate_values(df, r, groups)
         .groupBy(r.id)
         .agg(
             F.count_if(F.col("column") == r.approver).alias("approvers"),
@@ -93,8 +99,7 @@ def duplicate_report(df: DataFrame, r: PaymentRoles) -> DataFrame:
         )
     )
     return (
-        duplicate_groups(df, r)
-        .join(counts, r.id, "left")
+        groups.join(counts, r.id, "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("approvers", "amounts")})
     )
 

@@ -46,20 +46,32 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     return cut_lineage(counts.where(F.col("_n") * HOT_SHARE > total).select(key))
 
 
-def lookup_split(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join for tables of any size, exact under any skew of the key.
+def lookup_split(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """Left join for tables of any size, exact under any skew of the key, in one pass over the rows.
 
-    Rows of hot keys are matched by broadcast and never shuffled; all others meet
-    their key in a shuffle in which no key is large. Without hot keys it is one
-    plain join.
+    Rows of hot keys get their answer by broadcast. They and rows without a key go
+    through the shuffle under numbers of their own that match nothing, so they are spread
+    evenly; all others meet their key there, and none of these is large. ``hot`` holds the
+    hot keys where the caller knows them.
     """
-    hot = hot_keys(rows, key)
-    if hot.isEmpty():
-        return rows.join(table, key, "left")
-    marks = F.broadcast(hot.select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot")))
-    same = F.col(key).eqNullSafe(F.col("_hot_key"))
-    marked = rows.join(marks, same, "left").drop("_hot_key")
-    answers = table.join(F.broadcast(hot), key, "left_semi")
-    local = marked.where("_hot").drop("_hot").join(F.broadcast(answers), key, "left")
-    cold = marked.where("_hot IS NULL").drop("_hot").join(table, key, "left")
-    return local.unionByName(cold)
+    hot = hot_keys(rows, key) if hot is None else hot
+    names = [c for c in table.columns if c != key]
+    known = table.join(F.broadcast(hot), key, "left_semi")
+    answers = hot.join(F.broadcast(known), key, "left").select(
+        F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names]
+    )
+    alone = F.col("_hot").isNotNull() | F.col(key).isNull()
+    marked = rows.join(F.broadcast(answers), F.col(key) == F.col("_hot_key"), "left").withColumns(
+        {
+            "_cold_key": F.when(~alone, F.col(key)),
+            "_spread": F.when(alone, F.monotonically_increasing_id()).otherwise(F.xxhash64(key)),
+        }
+    )
+    cold = table.select(
+        F.col(key).alias("_cold_key"), F.xxhash64(key).alias("_spread"), *[F.col(c).alias(f"_cold_{c}") for c in names]
+    )
+    return marked.join(cold, ["_cold_key", "_spread"], "left").select(
+        key,
+        *[c for c in rows.columns if c != key],
+        *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in names],
+    )

@@ -135,6 +135,7 @@ class FeatureSettings:
     threshold: float = RISK_THRESHOLD
     orders: Mapping[str, Sequence[str]] = field(default_factory=lambda: ORDINAL_LEVELS)
     scaler: str = "standard"
+    max_levels: int = MAX_LEVELS
 
     @property
     def nominal(self) -> list[str]:
@@ -181,9 +182,8 @@ class FittedFeatures:
 
 
 def fit_features(df: DataFrame, settings: FeatureSettings) -> FittedFeatures:
-    return FittedFeatures(
-        settings, fit_levels(df, settings.nominal), fit_scaler(df, settings.numeric, settings.scaler)
-    )
+    levels = fit_levels(df, settings.nominal, settings.max_levels)
+    return FittedFeatures(settings, levels, fit_scaler(df, settings.numeric, settings.scaler))
 
 
 # --- splits and folds -------------------------------------------------------

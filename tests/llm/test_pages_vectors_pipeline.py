@@ -75,6 +75,33 @@ def test_nearest(spark):
     assert ann.search(df.limit(0), F.col("vec_id") == 0).isEmpty()
 
 
+def test_nearest_of_repeated_rows(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(40, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    moved = [(i, (v + 0.01 * rng.normal(size=8)).tolist()) for i, v in rows]  # several vectors of one id
+    for table in (rows[:20] * 2, rows * 12 + moved):
+        df = spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(3)
+        got = ann.search(df, F.col("vec_id") < 4, ann.Settings(parts=1)).toPandas()
+        for query in range(4):
+            best = {}
+            for a in (np.array(v) for i, v in table if i == query):
+                for i, v in table:
+                    if i != query:
+                        best[i] = min(best.get(i, np.inf), float(np.sqrt(((a - np.array(v)) ** 2).sum())))
+            want = sorted(best, key=lambda i: (best[i], i))[:10]
+            found = got[got.query_id == query].sort_values("rank")
+            assert found.vec_id.tolist() == want and np.allclose(found.score, [best[i] for i in want])
+    settings = ann.Settings(rows=150)  # the sample holds all rows, so the parts are the same
+    centres = rng.normal(size=(6, 8))
+    once = [(i, (centres[i % 6] + 0.3 * rng.normal(size=8)).tolist()) for i in range(600)]
+    found = [
+        {tuple(r) for r in ann.search(spark.createDataFrame(once * n, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, settings).collect()}
+        for n in (1, 3)
+    ]
+    assert found[0] == found[1] and len(found[0]) == 120
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_against_sql(spark, name):
     lines = []

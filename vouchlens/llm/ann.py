@@ -190,15 +190,22 @@ def routed(rows: DataFrame, router: Router, parts: int) -> DataFrame:
 
 
 def ranked(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k nearest rows of one block for each query, by distance and then id; exact."""
+    """The k nearest ids of one block for each query, by distance and then id; exact.
+
+    Rows that repeat an id are one candidate, at the smallest distance among them.
+    """
     got_q, got_v, got_d = [], [], []
     if rows.num_rows and queries.num_rows:
-        ids = rows.column("vec_id").to_numpy()
-        vectors = matrix(rows.column("embedding"))
+        of_row = rows.column("vec_id").to_numpy()
+        order = np.argsort(of_row, kind="stable")
+        vectors = matrix(rows.column("embedding"))[order]
+        ids, first = np.unique(of_row[order], return_index=True)
         asked = queries.column("query_id").to_pylist()
         for query, vector in zip(asked, matrix(queries.column("embedding")), strict=True):
             gap = vectors - vector
             d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+            if len(ids) < len(d):
+                d = np.minimum.reduceat(d, first)
             d[ids == query] = np.inf
             if len(d) > k:
                 near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
@@ -241,6 +248,7 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings | None = Non
     rows = rows.where(F.size("embedding") == length)
     share = min(1.0, settings.sample / n)
     chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = chosen.dropDuplicates(["vec_id", "embedding"])  # copies of a row are no neighbours of it
     sample = np.array([r.embedding for r in sorted(chosen.collect())], np.float64)
     if not len(sample):
         sample = np.array([rows.first().embedding], np.float64)

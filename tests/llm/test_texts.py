@@ -151,6 +151,15 @@ def test_similarity_join(docs, nothing, limits, monkeypatch):
     assert jaccard.similarity_join(nothing).isEmpty()
 
 
+@pytest.mark.parametrize("cell", [10, 40, 150])
+def test_similarity_join_of_few_long_texts_in_many_blocks(spark, monkeypatch, cell):
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    body = [f"v{i}" for i in range(200)]
+    found = [" ".join([*body, f"end{i}"]) for i in range(3)]
+    got = jaccard.similarity_join(frame(spark, [*found, "a b c d e f"], [1, 2, 3, 4]))
+    assert {tuple(r) for r in got.collect()} == {(1, 197, 1, 2), (2, 197, 1, 2), (3, 197, 1, 2), (4, 2, 4, 0)}
+
+
 def test_similarity_join_of_repeats_and_missing_ids(spark):
     df = frame(spark, ["a b c d e f"] * 3 + ["a b c d e f", None], [5, 5, None, 4, None])
     got = Counter(tuple(r) for r in jaccard.similarity_join(df).collect())

@@ -151,6 +151,18 @@ def test_supplier_literals(spark):
     ]
 
 
+def test_crosstab_has_every_company_type(spark):
+    sizes = ["Grande", "Micro", None, "Micro", "Mediana"]
+    df = supplier_rows(spark, [(i, "n", z, "P", "Alto", 0.0, None, None) for i, z in enumerate(sizes)]).withColumn(
+        "segmento_riesgo", F.when(F.col("ID_proveedor") < 3, "Premium").otherwise("Estándar")
+    )
+    got = suppliers.segment_by_size(df, SupplierRoles())
+    assert got.columns == ["segmento", "Grande", "Mediana", "Pequeña", "Micro", "All"]
+    assert {tuple(x) for x in got.collect()} == {
+        ("Premium", 1, 0, 0, 1, 2), ("Estándar", 0, 1, 0, 1, 2), ("All", 1, 1, 0, 2, 4),
+    }
+
+
 def test_equal_segment_edges_are_an_error(spark):
     df = spark.createDataFrame([(1.0,)] * 5, "score_riesgo double")
     with pytest.raises(Exception, match="distinct"):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouchlens.functions.columns import lookup_value, money_mean, money_sum, share
+from vouchlens.operators.features import fit_levels
 from vouchlens.plans.lookup import Measured, measured
 from vouchlens.plans.ordered import quantile_values
 from vouchlens.roles import SupplierRoles
@@ -279,14 +280,19 @@ def segment_distribution(df: DataFrame) -> DataFrame:
 
 
 def segment_by_size(df: DataFrame, r: SupplierRoles) -> DataFrame:
-    """Crosstab with margins; the row ``All`` is the total."""
+    """Crosstab with margins; the row ``All`` is the total, the column ``All`` the sum of the types.
+
+    The declared sizes have a column each, also without suppliers, and so has every other company type
+    of the data. Suppliers without a type are counted nowhere, as those without a segment.
+    """
+    typed = df.where(F.col("segmento_riesgo").isNotNull() & F.col(r.size).isNotNull())
+    sizes = [*SIZES, *(s for s in fit_levels(typed, [r.size])[r.size] if s not in SIZES)]
     name = F.when(F.grouping("segmento_riesgo") == 1, "All").otherwise(F.col("segmento_riesgo"))
     return (
-        df.where(F.col("segmento_riesgo").isNotNull())
-        .rollup("segmento_riesgo")
+        typed.rollup("segmento_riesgo")
         .agg(
             name.alias("segmento"),
-            *[F.count_if(F.col(r.size) == s).alias(s) for s in SIZES],
+            *[F.count_if(F.col(r.size) == s).alias(s) for s in sizes],
             _n().alias("All"),
         )
         .drop("segmento_riesgo")

@@ -132,3 +132,16 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, FOLDER).isEmpty()
     assert 0 < corpus_pipeline.run(spark, FOLDER).count() <= docs.count()
+
+
+def test_pipeline_judges_texts_of_one_id_each(spark):
+    import corpus_pipeline
+
+    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("size(split(text, ' ')) > 15").first().text
+    a, b = (" ".join(f"{x}{i * i % 97}{i}" for i in range(40)) for x in "ab")
+    rows = [(3, a), (7, a + " end"), (7, b), (7, b), (9, bench), (9, "clean words only"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = corpus_pipeline.one_of_each_group(spark, docs, FOLDER)
+    assert sorted(map(tuple, near.collect()), key=str) == sorted([rows[0], rows[2], *rows[4:]], key=str)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, FOLDER)
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted([*rows[:4], *rows[5:]], key=str)

@@ -166,6 +166,16 @@ def test_similarity_join_of_repeats_and_missing_ids(spark):
     assert got == Counter({(5, 2, 4, 2): 2, (4, 2, 4, 2): 1, (None, 2, None, 0): 1, (None, 0, None, 0): 1})
 
 
+def test_similarity_join_of_ids_with_several_texts(spark):
+    rnd = random.Random(3)
+    a, b, c = ([f"{x}{rnd.randrange(10**6)}" for _ in range(60)] for x in "abc")
+    near = lambda words, i: " ".join([*words, f"end{i}"])
+    rows = [(7, near(a, 0)), (7, near(b, 0)), (8, near(a, 1)), (9, near(b, 1)), (9, near(c, 0)), (7, near(a, 2)), (4, near(c, 1)), (4, "x y z")]
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = Counter(tuple(r) for r in jaccard.similarity_join(df).collect())
+    assert got == Counter({(7, 57, 7, 2): 2, (7, 57, 7, 1): 1, (8, 57, 7, 2): 1, (9, 57, 7, 1): 1, (9, 57, 4, 1): 1, (4, 57, 4, 1): 1, (4, 1, 4, 0): 1})
+
+
 def test_components(spark):
     rnd = random.Random(4)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)]

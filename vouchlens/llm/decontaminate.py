@@ -168,6 +168,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A text that many documents share is aligned once, by its digest.
     """
+    return judged(docs, benchmark).drop("digest")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What ``contamination`` returns, with digest: sha2 (256) of the text, of every contaminated document at least."""
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")
     ).distinct()
@@ -181,19 +186,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("item_id")).alias("items"),
     )
     nothing = F.array().cast("array<string>")
-    judged = (
+    met = (
         held.select("doc_id", "n_words", "digest")
         .join(per_text, "digest", "left")
-        .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", nothing).alias("items"))
+        .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", nothing).alias("items"), "digest")
     )
     clean = seen.where(F.col("digest").isNull()).select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("items")
+        "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("items"), "digest"
     )
-    return judged.unionByName(clean).select(
+    return met.unionByName(clean).select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         "items",
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "digest",
     )

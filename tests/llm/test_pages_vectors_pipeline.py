@@ -41,6 +41,23 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), url_rules.listed_labels(pages.limit(0))).isEmpty()
 
 
+def test_url_rules_from_path_words_and_long_ones(spark):
+    def verdicts(made, asked):
+        labelled = spark.createDataFrame(made, "url string, label string")
+        pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+        got = url_rules.judge(pages, labelled, url_rules.Settings(default="none"), rules=())
+        return [r.verdict for r in got.orderBy("page_id").collect()]
+
+    made = [(f"http://h{i % 7}.net/{i}/{p}/{i}.html", y) for i in range(60) for p, y in (("casino", "block"), ("my-news", "allow"))]
+    made += [(f"http://h{i % 7}.net/category/{p}/{i}", y) for i in range(60) for p, y in (("shop", "block"), ("help", "allow"))]
+    asked = ["http://new.org/casino/", "http://new.org/x/casino-royale/1", "http://new.org/news", "http://new.org/category/shop/9", "http://new.org/category/help"]
+    assert verdicts(made, asked) == ["block", "block", "allow", "block", "allow"]
+    words = ["a1", "b2", "c3", "d4"]  # only all four together tell "block"
+    some = [[w for j, w in enumerate(words) if i >> j & 1] for i in range(16)]
+    made = [("http://h.net/" + "/".join(s), "block" if len(s) == 4 else "allow") for s in some for _ in range(10)]
+    assert verdicts(made, ["http://h.net/a1/b2/c3/d4", "http://h.net/a1/b2/c3"]) == ["block", "allow"]
+
+
 def test_rules_match_by_index():
     rules = [(frozenset("ab"), "block", 0.9, 0.1), (frozenset("a"), "allow", 0.8, 0.2), (frozenset("c"), "block", 0.8, 0.1)]
     index = url_rules.Index(rules, "none")

@@ -28,14 +28,19 @@ LISTED = (
 )
 
 
+#: Words of a path part.
+PATH_WORD = re.compile(r"[^\W_]+")
+
+
 @dataclass(frozen=True)
 class Settings:
     """A frequent set holds in ``min_support`` of the labelled rows, so their number is bounded by
-    the token sets of one URL over ``min_support``, whatever the number of rows."""
+    the token sets of one URL over ``min_support``, whatever the number of rows. Rules have any
+    number of tokens unless ``max_tokens`` is set."""
 
     min_support: float = 0.002
     min_confidence: float = 0.8
-    max_tokens: int = 3
+    max_tokens: int | None = None
     default: str = "allow"
 
 
@@ -61,7 +66,10 @@ def listed_rule(host: Column, path: Column, rules=LISTED) -> tuple[Column, Colum
 
 
 def tokens(url: str | None) -> list[str]:
-    """Distinct tokens: host, its parent domains, labels and their words, path parts, query names, scheme."""
+    """Distinct tokens: host, its parent domains, labels and their words, path parts and their words, query names, scheme.
+
+    A path part and a word of one are the same token, so ``/casino/`` and ``/casino-royale/`` share one.
+    """
     scheme, mark, rest = (url or "").partition("://")
     if not mark:
         return []
@@ -72,6 +80,7 @@ def tokens(url: str | None) -> list[str]:
     out.update("host:" + ".".join(labels[i:]) for i in range(len(labels)))
     out.update(f"word:{w}" for label in labels[:-1] for w in label.split("-") if w)
     parts = [p for p in m[2].split("/") if p]
+    out.update(f"path:{w}" for p in parts for w in (p, *PATH_WORD.findall(p)))
     if parts and len(parts[0]) == 2:
         out.add(f"first:{parts[0]}")
     out.update(f"ending:{p.rpartition('.')[2]}" for p in parts[-1:] if "." in p)
@@ -82,7 +91,8 @@ def tokens(url: str | None) -> list[str]:
 def mined_rules(labelled: DataFrame, settings: Settings) -> list[tuple[frozenset[str], str, float, float]]:
     """(tokens, label, confidence, support), best first, from rows (url, label).
 
-    Collected: their number has the bound that ``Settings`` states.
+    Rules come to the driver in order of their length, and one is dropped there if a kept rule with some
+    of its tokens says the same at least as surely. Their number has the bound that ``Settings`` states.
     """
     split = labelled.where(F.col("label").isNotNull()).select("url", "label")
 
@@ -101,23 +111,23 @@ def mined_rules(labelled: DataFrame, settings: Settings) -> list[tuple[frozenset
         minConfidence=settings.min_confidence,
         numPartitions=shuffle_partitions(labelled.sparkSession),
     )
+    length = F.size("antecedent")
     said = (
         growth.fit(sets)
-        .associationRules.where(
-            F.element_at("consequent", 1).startswith("label:") & (F.size("antecedent") <= settings.max_tokens)
-        )
-        .select("antecedent", F.element_at("consequent", 1).substr(7, 1000).alias("label"), "confidence", "support")
-    )
-    found = sorted(
-        (len(r.antecedent), -r.confidence, -r.support, sorted(r.antecedent), r.label) for r in said.collect()
+        .associationRules.where(F.element_at("consequent", 1).startswith("label:"))
+        .where(F.lit(True) if settings.max_tokens is None else length <= settings.max_tokens)
+        .select(F.array_sort("antecedent").alias("antecedent"), F.element_at("consequent", 1).substr(7, 1000).alias("label"), "confidence", "support")
+        .orderBy(length, F.desc("confidence"), F.desc("support"), "antecedent", "label")
     )
-    kept: dict[frozenset[str], tuple[str, float, float]] = {}
-    for _, confidence, support, antecedent, label in found:
-        own = frozenset(antecedent)
-        simpler = [kept.get(own - {t}) for t in own] + [kept.get(frozenset([t])) for t in own]
-        if not any(s and s[0] == label and s[1] >= -confidence for s in simpler):
-            kept[own] = (label, -confidence, -support)
-    return sorted(((k, *v) for k, v in kept.items()), key=lambda r: (-r[2], -r[3], sorted(r[0]), r[1]))
+    kept: list[tuple[frozenset[str], str, float, float]] = []
+    simpler: dict[str, list[int]] = defaultdict(list)  # kept rules by their first token
+    for r in said.toLocalIterator():
+        own = frozenset(r.antecedent)
+        fits = (kept[i] for t in own for i in simpler.get(t, ()))
+        if not any(k[1] == r.label and k[2] >= r.confidence and k[0] < own for k in fits):
+            simpler[min(own, default="")].append(len(kept))
+            kept.append((own, r.label, r.confidence, r.support))
+    return sorted(kept, key=lambda k: (-k[2], -k[3], sorted(k[0]), k[1]))
 
 
 class Index:

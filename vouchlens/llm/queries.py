@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchlens.llm import ann, bpe, decontaminate, jaccard, pii, ppm, suffix_dedup, token_counts, toxicity, url_rules
+from vouchlens.llm import (
+    ann,
+    bpe,
+    chat,
+    decontaminate,
+    fill_middle,
+    jaccard,
+    pii,
+    ppm,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    url_rules,
+    whitening,
+)
 from vouchlens.llm.common import remainder, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -102,6 +116,55 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+#: A conversation whose texts hold the template's own marks, one with a backslash before it.
+PLANTED_ID, PLANTED_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    planted = spark.range(2).select(
+        F.lit(PLANTED_ID).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PLANTED_TEXT).alias("text"),
+    )
+    turns = table(spark, folder, "conversations").select(planted.columns)
+    chats = chat.format_chats(turns.unionByName(planted))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = chats.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        chat.masked_text(F.col("formatted"), F.col("loss")).alias("learned"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    return read.select(
+        "conv_id",
+        "n_turns",
+        "turns_sha256",
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, folder, "documents"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(again.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_jaccard_join": op2_jaccard_join,
@@ -113,6 +176,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_decontamination": op9_decontamination,
     "op10_nearest": op10_nearest,
+    "op11_chat_format": op11_chat_format,
+    "op12_whitening": op12_whitening,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 SQL = {
@@ -141,4 +207,42 @@ hi AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN hi ON d.doc_id = hi.doc_id""",
+    "op11_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+r AS (
+  SELECT *, CASE WHEN regexp_full_match(role, '[a-z][a-z0-9_]*') THEN length(role) ELSE 1 + 2 * strlen(role) END + 15
+      + length(regexp_replace(text, '(\\*(?:</turn>|### (?:[A-Z][a-z0-9_]*|=[0-9A-F]*): ))', '\\\1', 'g')) AS size
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id""",
+    "op13_fill_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+c AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+        OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (
+  SELECT *, coalesce(array_to_string(u[:least(a, b)], ''), '') AS pre,
+    coalesce(array_to_string(u[least(a, b) + 1 : greatest(a, b)], ''), '') AS mid,
+    coalesce(array_to_string(u[greatest(a, b) + 1 :], ''), '') AS suf
+  FROM c)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p""",
 }

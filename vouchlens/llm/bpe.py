@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -27,8 +28,11 @@ from vouchlens.llm.common import texts
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Code points that Python's split() takes for white space and the patterns don't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Chunks whose encoding a task remembers before it starts anew (results don't depend on it).
-REMEMBERED = 1_000_000
+#: Bytes of chunks and their encodings that a task remembers before it starts anew (results don't depend on it),
+#: and what an entry takes besides them.
+REMEMBERED, ENTRY = 64 << 20, 350
+#: Rows and bytes of text that are encoded at once (a longer text is encoded alone).
+ROWS, BYTES = 2000, 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -152,7 +156,7 @@ class Chunks:
     """
 
     def __init__(self, table: Merges, value):
-        self.table, self.value, self.known = table, value, {}
+        self.table, self.value, self.known, self.size = table, value, {}, 0
 
     def pieces(self, text: str) -> list[str]:
         """Chunks and special strings of a text, in order."""
@@ -174,10 +178,12 @@ class Chunks:
         """The chunks of each text; afterwards ``known`` has them all."""
         split = [self.pieces(t) for t in batch]
         new = set().union(*split)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.size > REMEMBERED:
+            self.known, self.size = {}, 0
         new = [c for c in new if c not in self.known and c not in self.table.special]
-        self.known.update(zip(new, self.value([self.pretokens(c) for c in new]), strict=True))
+        values = self.value([self.pretokens(c) for c in new])
+        self.known.update(zip(new, values, strict=True))
+        self.size += ENTRY * len(new) + sum(map(len, new)) + sum(len(x) for v in values if isinstance(v, tuple) for x in v)
         return split
 
 
@@ -242,10 +248,17 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     return texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
-def slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch, so that a task holds the results of a few texts at a time."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ROWS rows and about BYTES of text, so that a task holds the results of a few texts at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at, size = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and (i - at == ROWS or size + n > BYTES):
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n
+    if at < len(sizes):
+        yield batch.slice(at)
 
 
 def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vouchlens.llm.bpe import Chunks, Merges, merges
+from vouchlens.llm.bpe import Chunks, Merges, merges, slices
 from vouchlens.llm.common import texts
 
 
@@ -60,14 +60,14 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = merges(path)
         chunks = Chunks(table, counter(table, whole))
-        for batch in batches:
-            found = batch.column(1).to_pylist()
+        for part in (part for batch in batches for part in slices(batch)):
+            found = part.column(1).to_pylist()
             split = chunks.batch(found)
-            known = chunks.known | dict.fromkeys(table.special, 1)
-            counts = [sum([known[c] for c in pieces]) for pieces in split]
+            chunks.known.update(dict.fromkeys(table.special, 1))
+            counts = [sum([chunks.known[c] for c in pieces]) for pieces in split]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    part.column(0),
                     pa.array([len(t.encode()) for t in found], pa.int64()),
                     pa.array(counts, pa.int64()),
                     pa.array([n > limit for n in counts], pa.bool_()),

@@ -217,7 +217,7 @@ def test_ppm(docs, nothing):
                 chance -= math.log10(256 - len(out))
         r = scored[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(tokens[w] > 0 for w in own), total)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(chance, rel=1e-5)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(chance, rel=1e-9)
     assert ppm.score_texts(nothing, remainder("doc_id", 10) != 0).isEmpty()
     bare = ppm.score_texts(docs["df"].where("doc_id = 3"), remainder("doc_id", 1) != 0).first()
     assert bare.train_tokens == 0 and bare.score < 0

@@ -25,8 +25,8 @@ ORDER = 5
 #: Bytes that UTF-8 never has: ORDER before each text, one after it.
 BEFORE, AFTER = 0xFE, 0xFF
 SYMBOLS = 256
-#: Bytes of text that a block has about, and that numpy handles at once.
-BLOCK, PART = 24 << 20, 1 << 20
+#: Bytes of text that a block has about, that numpy handles at once, and that a route answers for.
+BLOCK, PART, ROUTE = 4 << 20, 1 << 20, 4 << 20
 #: The key of the token that ends a text.
 END = np.uint64(1)
 
@@ -243,8 +243,7 @@ def answers(asked: DataFrame, pairs: tuple[np.ndarray, np.ndarray]) -> DataFrame
         word, count = tally(np.concatenate(words), np.concatenate(word_n))
         rows = [(-1, b"", b"", int(count.sum()), int((count > 0).sum()))]
         for block, c, w in zip(table.column("block").to_pylist(), codes, words, strict=True):
-            chances = value_of(code, chance, c).astype(np.float32)
-            rows.append((block, packed(chances), packed(value_of(word, count, w).astype(np.int64)), 0, 0))
+            rows.append((block, packed(value_of(code, chance, c)), packed(value_of(word, count, w).astype(np.int64)), 0, 0))
         block, c, w, tokens, kinds = zip(*rows, strict=True)
         return pa.table(
             {
@@ -281,14 +280,14 @@ def scores(blocks: DataFrame, asked: DataFrame, answered: DataFrame) -> DataFram
             order = np.argsort(k)
             return k[order], np.concatenate(numbers(known.column(values), value))[order]
 
-        codes, chances = joined("codes", "chances", np.int64, np.float32)
+        codes, chances = joined("codes", "chances", np.int64, np.float64)
         words, counts = joined("words", "counts", np.uint64, np.int64)
         end = int(value_of(words, counts, np.array([END]))[0])
         found = table.column("text").to_pylist()
         out = []
         for at, to, part in text_parts(found):
             first = np.cumsum(part.per_text) - part.per_text
-            chance = np.add.reduceat(value_of(codes, chances, part.codes).astype(np.float64), first)
+            chance = np.add.reduceat(value_of(codes, chances, part.codes), first)
             count = value_of(words, counts, part.words)
             n = np.bincount(part.text_of_word, minlength=to - at)
             have = np.bincount(part.text_of_word, weights=count > 0, minlength=to - at)
@@ -329,7 +328,7 @@ def score_texts(docs: DataFrame, learned: Column, id_column: str = "doc_id", tex
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = int(size // BLOCK) + 1
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    asked = written_once(questions(blocks, shuffle_partitions(spark)))
+    asked = written_once(questions(blocks, max(shuffle_partitions(spark), int(size // ROUTE))))
     # at most 65,536 sums, whatever the corpus
     pairs = asked.where("route = -1").select("codes", "code_n").mapInArrow(_pair_rows, "pair long, n long")
     found = pairs.groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0").collect()

@@ -1,5 +1,6 @@
 """URL rules, nearest neighbours, the pipeline, and the registered queries."""
 
+import math
 import re
 
 import numpy as np
@@ -162,3 +163,12 @@ def test_pipeline_judges_texts_of_one_id_each(spark):
     assert sorted(map(tuple, near.collect()), key=str) == sorted([rows[0], rows[2], *rows[4:]], key=str)
     clean = corpus_pipeline.drop_contaminated(spark, docs, FOLDER)
     assert sorted(map(tuple, clean.collect()), key=str) == sorted([*rows[:4], *rows[5:]], key=str)
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e307])
+def test_very_large_and_small_vectors_have_neighbours(spark, size):
+    rows = [(i, [size * (i % 7 - 3) / 3, size * (i // 7 + 1) / 3]) for i in range(12)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    plain = sorted((math.hypot(x / 2 - rows[0][1][0] / 2, y / 2 - rows[0][1][1] / 2) * 2, i) for i, (x, y) in rows[1:])[:10]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [i for _, i in plain]
+    assert [r.score for r in sorted(got, key=lambda r: r.rank)] == pytest.approx([d for d, _ in plain])

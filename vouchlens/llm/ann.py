@@ -148,13 +148,16 @@ def fit(sample: np.ndarray, settings: Settings) -> Router:
     """A router from sampled vectors; its probes reach the wanted recall among them."""
     rng = np.random.default_rng(settings.seed)
     sample = sample.astype(np.float64)
+    most = float(np.abs(sample).max(initial=0))
+    large = most if most > 1e100 or 0 < most < 1e-100 else 1.0  # squares would leave the range of doubles
+    sample = sample / large
     mean, scale = sample.mean(0), float(sample.std()) or 1.0
     part = balanced_parts(sample, settings, rng)
     kinds = int(part.max()) + 1
     if kinds == 1:
         dim = sample.shape[1]
         layers = (np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-        return Router(mean, scale, layers, 1, 1)
+        return Router(mean * large, scale * large, layers, 1, 1)
     fold = rng.permutation(len(sample)) % 4 == 0  # measured on rows the classifier hasn't seen
     guide = Router(mean, scale, trained((sample[~fold] - mean) / scale, part[~fold], settings, rng), kinds, kinds)
     order = guide.order(sample)
@@ -165,7 +168,7 @@ def fit(sample: np.ndarray, settings: Settings) -> Router:
     reached = [(when < m).mean() for m in range(1, kinds + 1)]
     probes = next((m for m, r in enumerate(reached, 1) if r >= settings.recall), kinds)
     layers = trained((sample - mean) / scale, part, settings, rng)
-    return Router(mean, scale, layers, kinds, probes)
+    return Router(mean * large, scale * large, layers, kinds, probes)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -189,6 +192,20 @@ def routed(rows: DataFrame, router: Router, parts: int) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, embedding array<double>, parts array<int>")
 
 
+def distances(vectors: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares would leave the range of doubles, of gaps brought to one first."""
+    with np.errstate(over="ignore"):
+        gap = vectors - vector
+        square = np.einsum("ij,ij->i", gap, gap)
+    d = np.sqrt(square)
+    odd = np.flatnonzero(~((square >= 1e-280) & (square < np.inf)))
+    if len(odd):
+        half = vectors[odd] / 2 - vector / 2  # can't overflow
+        most = np.abs(half).max(1, initial=0)
+        d[odd] = 2 * (most * np.sqrt(((half / np.where(most > 0, most, 1)[:, None]) ** 2).sum(1)))
+    return d
+
+
 def ranked(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     """The k nearest ids of one block for each query, by distance and then id; exact.
 
@@ -202,16 +219,13 @@ def ranked(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
         ids, first = np.unique(of_row[order], return_index=True)
         asked = queries.column("query_id").to_pylist()
         for query, vector in zip(asked, matrix(queries.column("embedding")), strict=True):
-            gap = vectors - vector
-            d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+            d = distances(vectors, vector)
             if len(ids) < len(d):
                 d = np.minimum.reduceat(d, first)
-            d[ids == query] = np.inf
-            if len(d) > k:
-                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-            else:
-                near = np.arange(len(d))
-            near = near[np.isfinite(d[near])]
+            others = np.flatnonzero(ids != query)
+            if len(others) > k:
+                others = others[d[others] <= np.partition(d[others], k - 1)[k - 1]]
+            near = others
             near = near[np.lexsort((ids[near], d[near]))][:k]
             got_q += [query] * len(near)
             got_v += ids[near].tolist()

@@ -318,3 +318,13 @@ def test_toxicity(spark, nothing):
 def test_signature_is_of_the_set():
     a, b = jaccard.shingle_sets(["x y z x y z x y z", "y z x y z x y z x y z"], 3)
     assert jaccard.signature(a) == jaccard.signature(b) == hashlib.blake2b(a.tobytes(), digest_size=16).digest()
+
+
+def test_long_words_are_told_apart(spark):
+    """Two letters in the order of the Thue-Morse sequence and its mirror have equal polynomials modulo 2^64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate({97: 98, 98: 97})
+    rest = " ".join(f"w{i}" for i in range(2))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a.upper()} {rest}")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similarity_join(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}

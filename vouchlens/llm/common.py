@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,13 +43,17 @@ def word_keys(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """64-bit key and start of each word: a stretch of bytes between those where ``gap`` holds.
 
     ``data`` begins and ends with a gap. A word's key is its polynomial hash, read from
-    running sums, so no word is looked at by itself.
+    running sums, so only words of more than LONG bytes are looked at by themselves: among
+    such, polynomials modulo 2^64 can be equal for any base, so they take a real hash.
     """
     start = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
     end = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
     summed = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(LETTER[data] * powers(STEP, len(data)), out=summed[1:])
-    return mix64((summed[end] - summed[start]) * powers(BACK, len(data))[start]), start
+    keys = mix64((summed[end] - summed[start]) * powers(BACK, len(data))[start])
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        keys[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return keys, start
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -77,6 +82,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: For the hash of words: a number for each byte, an odd base and its inverse modulo 2^64.
 LETTER = mix64(np.arange(1, 257, dtype=np.uint64))
+#: Bytes of a word up to which the polynomial tells words apart.
+LONG = 64
 STEP = 0x9E3779B97F4A7C15
 BACK = pow(STEP, -1, 1 << 64)
 #: A-Z lower-cased in bytes, and the bytes that part words.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vouchlens.operators import features, metrics, training
 from vouchlens.session import written_once, scratch_path
 from vouchlens.sources.role_views import history, predictions
-from vouchlens.suite.history import KEY, settings
+from vouchlens.suite.history import CATEGORIES, KEY, METHODS, H, _cal, _dated, _hot, _ord, settings
 from vouchlens.suite.sql import HISTORY
 
 G = ["model", "split"]
@@ -41,11 +41,17 @@ def _settings(columns, models=None):
     return training.TrainingSettings(features=columns, models=models or training.DEFAULTS)
 
 
+def _evaluated(models, rows):
+    """Scores are compared to ten digits, so that equal ones stay equal whatever the order of sums."""
+    scored = training.predict_all(models, rows, "risk_target").withColumn("score", F.round("score", 10))
+    return _r(metrics.all_metrics(written_once(scored), G))
+
+
 def _trained(name):
     def query(s, d):
         rows, columns, _ = prepared(s, d)
         model = training.train(rows.where("split = 'train'"), name, training.DEFAULTS[name], _settings(columns))
-        return training.evaluate({name: model}, rows, "risk_target")
+        return _evaluated({name: model}, rows)
 
     return query
 
@@ -72,11 +78,13 @@ def _search(s, d):
     return results.withColumn("refitted_f1", F.when(F.col("point") == best, again))
 
 
-def _importance(s, d):
-    rows, columns, names = prepared(s, d)
-    name = training.FOREST
-    model = training.train(rows.where("split = 'train'"), name, training.DEFAULTS[name], _settings(columns))
-    return training.feature_importance(model, names)
+def _importance(name):
+    def query(s, d):
+        rows, columns, names = prepared(s, d)
+        model = training.train(rows.where("split = 'train'"), name, training.DEFAULTS[name], _settings(columns))
+        return training.feature_importance(model, names).select("feature", F.round("importance", 8).alias("importance"))
+
+    return query
 
 
 def _end_to_end(s, d):
@@ -91,7 +99,7 @@ def _saved(s, d):
     folder = scratch_path(s, "models")
     training.save_models({name: model}, folder)
     again = training.load_model(folder, name)
-    return training.evaluate({name: again}, rows, "risk_target")
+    return _evaluated({name: again}, rows)
 
 
 QUERIES = {
@@ -115,7 +123,8 @@ QUERIES = {
     "M14_precision_recall_points": lambda s, d: _r(
         metrics.precision_recall_points(_pred(s, d), G)
     ),
-    "M15_feature_importance": _importance,
+    "M15_feature_importance": _importance(training.FOREST),
+    "M15_coefficient_sizes": _importance(training.LOGISTIC),
     "M16_error_analysis": lambda s, d: _r(metrics.error_analysis(_pred(s, d), G)),
     "M17_best_model": lambda s, d: _r(
         metrics.best_model(metrics.binary_metrics(_pred(s, d).where("split = 'test'"), ["model"]))
@@ -129,13 +138,7 @@ QUERIES = {
     "IO13_saved_model": _saved,
 }
 
-CHAIN = f"""WITH {HISTORY},
-base AS (SELECT id, part, CAST(score < 0.5 AS INTEGER) AS label, CASE WHEN part % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM history),
-pred0 AS (SELECT *, 'a' AS model, round((id * 7919 + part * 104729) % 1000 / 1250 + label * CAST(0.2 AS DOUBLE), 4) AS score FROM base
-  UNION ALL SELECT *, 'b', round((id * 15485863 + part * 611953) % 1000 / 1250 + label * CAST(0.08 AS DOUBLE), 4) FROM base
-  UNION ALL SELECT *, 'c', round((id * 31337 + part * 271) % 1000 / 1250, 4) FROM base),
-pred AS (SELECT *, CAST(score >= 0.5 AS INTEGER) AS prediction FROM pred0),
-conf AS (SELECT model, split, count(*) FILTER (label = 0 AND prediction = 0) AS tn, count(*) FILTER (label = 0 AND prediction = 1) AS fp,
+MEASURES = """conf AS (SELECT model, split, count(*) FILTER (label = 0 AND prediction = 0) AS tn, count(*) FILTER (label = 0 AND prediction = 1) AS fp,
     count(*) FILTER (label = 1 AND prediction = 0) AS fn, count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) AS total FROM pred GROUP BY ALL),
 rates AS (SELECT *, (tp + tn) / total AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1,
     ((tp + fp) * 1.0 * (tp + fn) + (fn + tn) * 1.0 * (fp + tn)) / (total * 1.0 * total) AS pe FROM conf),
@@ -148,6 +151,53 @@ ranks AS (SELECT model, split, sum(neg * (cp - pos + cp) / 2.0) / max(CAST(tpos
 rep AS (SELECT model, split, accuracy, '0' AS class, tn / (tn + fn) AS precision, tn / (tn + fp) AS recall, 2 * tn / (2 * tn + fn + fp) AS f1, tn + fp AS support FROM rates
   UNION ALL SELECT model, split, accuracy, '1', precision, recall, f1, tp + fn FROM rates)
 """
+CHAIN = f"""WITH {HISTORY},
+base AS (SELECT id, part, CAST(score < 0.5 AS INTEGER) AS label, CASE WHEN part % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM history),
+pred0 AS (SELECT *, 'a' AS model, round((id * 7919 + part * 104729) % 1000 / 1250 + label * CAST(0.2 AS DOUBLE), 4) AS score FROM base
+  UNION ALL SELECT *, 'b', round((id * 15485863 + part * 611953) % 1000 / 1250 + label * CAST(0.08 AS DOUBLE), 4) FROM base
+  UNION ALL SELECT *, 'c', round((id * 31337 + part * 271) % 1000 / 1250, 4) FROM base),
+pred AS (SELECT *, CAST(score >= 0.5 AS INTEGER) AS prediction FROM pred0),
+""" + MEASURES
+
+# The logistic model once more in SQL: a majorizer of the curvature (a quarter of the weighted products) is inverted by
+# elimination, then steps with it lead to the one optimum.
+FIXED = "year month quarter day_of_week day_of_month week_of_year is_month_start is_month_end is_quarter_start is_quarter_end".split()
+NAMES = [
+    *FIXED,
+    *(f"category_{c}" for c in CATEGORIES),
+    *(f"method_{m}" for m in METHODS),
+    "indicator_encoded",
+    "season_encoded",
+    "amount_scaled",
+    "time_scaled",
+]
+_P = len(NAMES) + 1
+_scaled = ", ".join(
+    f"({c} - (SELECT avg({c}) FROM history)) / (SELECT stddev_pop({c}) FROM history) AS {c}_scaled" for c in ("amount", "time")
+)
+LOGISTIC_SQL = H.replace("WITH", "WITH RECURSIVE", 1) + f""",
+feat AS (SELECT id, part, risk_target AS y, {_cal}, {_hot}, {_ord}, {_scaled},
+    CASE WHEN {_dated} <= floor(n * (1 - CAST(0.2 AS DOUBLE))) THEN 'train' ELSE 'test' END AS split FROM t, n),
+vec AS (SELECT y, split, CAST([year - 1995, {", ".join(f'"{c}"' for c in NAMES[1:])}, 1] AS DOUBLE[]) AS v FROM feat),
+tr AS MATERIALIZED (SELECT y, v, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY y)) AS w FROM vec WHERE split = 'train'),
+bound AS (SELECT i, j, sum(w * v[i] * v[j]) / 4 + CASE WHEN i = j AND i < {_P} THEN 1 ELSE 0 END AS s
+  FROM tr, range(1, {_P + 1}) a(i), range(1, {_P + 1}) b(j) GROUP BY i, j),
+wide AS (SELECT i, list_concat(list(s ORDER BY j), list_transform(range(1, {_P + 1}), lambda j: CASE WHEN j = i THEN 1.0 ELSE 0.0 END)) AS r
+  FROM bound GROUP BY i),
+solve(k, m) AS (SELECT 1, list(r ORDER BY i) FROM wide
+  UNION ALL SELECT k + 1, list_transform(range(1, {_P + 1}), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda x: x / m[k][k])
+    ELSE list_transform(range(1, {2 * _P + 1}), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END) FROM solve WHERE k <= {_P}),
+inv AS MATERIALIZED (SELECT list_transform(m, lambda r: r[{_P + 1}:]) AS inv FROM solve WHERE k = {_P + 1}),
+steps(step, b) AS (SELECT 0, list_transform(range(0, {_P}), lambda i: CAST(0 AS DOUBLE))
+  UNION ALL SELECT step + 1, list_transform(range(1, {_P + 1}), lambda i: b[i] - list_dot_product(inv[i], g)) FROM (
+    SELECT step, b, list(gi ORDER BY i) AS g FROM (
+      SELECT step, b, i, sum(w * (p - y) * v[i]) + CASE WHEN i < {_P} THEN b[i] ELSE 0 END AS gi FROM (
+        SELECT step, b, w, y, v, 1 / (1 + exp(-list_dot_product(b, v))) AS p FROM steps, tr WHERE step < 60), range(1, {_P + 1}) r(i)
+      GROUP BY step, b, i) GROUP BY step, b), inv),
+best AS MATERIALIZED (SELECT b FROM steps WHERE step = 60),
+pred AS (SELECT 'logistic_regression' AS model, split, y AS label, score, CAST(score > 0.5 AS INTEGER) AS prediction
+  FROM (SELECT split, y, round(1 / (1 + exp(-list_dot_product(b, v))), 10) AS score FROM vec, best)),
+"""
 
 
 def _8(*names):
@@ -155,7 +205,14 @@ def _8(*names):
 
 
 _bin = ("accuracy", "precision", "recall", "f1", "cohen_kappa")
+_logistic = LOGISTIC_SQL + MEASURES + f"""SELECT model, split, {_8(*_bin, 'roc_auc', 'average_precision')}
+  FROM kappa JOIN ranks USING (model, split)"""
+_names = ", ".join(f"'{n}'" for n in NAMES)
 SQL = {
+    "M1_logistic_regression": _logistic,
+    "IO13_saved_model": _logistic,
+    "M15_coefficient_sizes": LOGISTIC_SQL.rstrip().rstrip(",")
+    + f" SELECT unnest([{_names}]) AS feature, unnest(list_transform(b[:{_P - 1}], lambda x: round(abs(x), 8))) AS importance FROM best",
     "M8_binary_metrics": CHAIN + f"SELECT model, split, {_8(*_bin)} FROM kappa",
     "M9_roc_auc": CHAIN + f"SELECT model, split, {_8('roc_auc')} FROM ranks",
     "M9_roc_auc_ungrouped": CHAIN

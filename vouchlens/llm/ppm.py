@@ -26,7 +26,7 @@ ORDER = 5
 BEFORE, AFTER = 0xFE, 0xFF
 SYMBOLS = 256
 #: Bytes of text that a block has about, that numpy handles at once, and that a route answers for.
-BLOCK, PART, ROUTE = 4 << 20, 1 << 20, 4 << 20
+BLOCK, PART, ROUTE = 16 << 20, 1 << 20, 4 << 20
 #: The key of the token that ends a text.
 END = np.uint64(1)
 
@@ -88,20 +88,40 @@ def merged(tallies: list[tuple[np.ndarray, np.ndarray]], kind) -> tuple[np.ndarr
     return tally(keys, np.concatenate([np.empty(0, np.int64), *(t[1] for t in tallies)]))
 
 
+def add(tallies: list[tuple[np.ndarray, np.ndarray]], new: tuple[np.ndarray, np.ndarray], kind) -> None:
+    """Adds a tally; those of like size are merged, so that little more than the distinct keys is held."""
+    tallies.append(new)
+    while len(tallies) > 1 and len(tallies[-2][0]) <= 2 * len(tallies[-1][0]):
+        tallies.append(merged([tallies.pop(), tallies.pop()], kind))
+
+
 def code_route(codes: np.ndarray, routes: int) -> np.ndarray:
     """By the last two bytes of the context, so that all orders from two on lie in one task."""
     return (mix64((codes >> 8 & 0xFFFF).astype(np.uint64)) % np.uint64(routes)).astype(np.int64)
 
 
 def packed(x: np.ndarray) -> bytes:
-    """An array as compressed bytes after their plain size."""
-    raw = x.tobytes()
+    """An array as compressed bytes after their plain size; equal places of the numbers lie together, most are zero."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(b: bytes, kind) -> np.ndarray:
-    size = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], size, codec="zstd", asbytes=True), kind)
+    size, width = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(b[8:], size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).ravel().view(kind)
+
+
+def packed_few(x: np.ndarray) -> bytes:
+    """Doubles of which many are equal: their distinct values and a place among these for each."""
+    values, place = np.unique(x, return_inverse=True)
+    first = packed(values)
+    return len(first).to_bytes(8, "little") + first + packed(place.astype(np.uint32))
+
+
+def unpacked_few(b: bytes) -> np.ndarray:
+    size = 8 + int.from_bytes(b[:8], "little")
+    return unpacked(b[8:size], np.float64)[unpacked(b[size:], np.uint32)]
 
 
 def steps(x: np.ndarray) -> np.ndarray:
@@ -129,8 +149,8 @@ def questions(blocks: DataFrame, routes: int) -> DataFrame:
         codes, words = [], []
         for at, end, part in text_parts(found):
             mark = learned[at:end]
-            codes.append(tally_marked(part.codes, np.repeat(mark, part.per_text)))
-            words.append(tally(part.words, mark[part.text_of_word]))
+            add(codes, tally_marked(part.codes, np.repeat(mark, part.per_text)), np.int64)
+            add(words, tally(part.words, mark[part.text_of_word]), np.uint64)
         code, code_n = merged(codes, np.int64)
         words.append((np.array([END]), np.array([learned.sum()])))
         word, word_n = merged(words, np.uint64)
@@ -225,63 +245,56 @@ class Trie:
         return out
 
 
-ANSWERS = "block int, route int, codes binary, words binary, tokens long, kinds long"
+ANSWERS = "block int, codes binary, chances binary, words binary, counts binary"
 
 
 def answers(asked: DataFrame, pairs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """For each question, in its order: log10 probabilities of codes, learning counts of words.
-
-    Block -1 has the route's learning tokens and distinct learning tokens.
-    """
+    """Each question with log10 probabilities of its codes and learning counts of its words."""
 
     def run(table: pa.Table) -> pa.Table:
-        route = table.column("route")[0].as_py()
         codes, code_n = keys_of(table.column("codes"), np.int64), numbers(table.column("code_n"), np.int64)
         words, word_n = keys_of(table.column("words"), np.uint64), numbers(table.column("word_n"), np.int64)
         code, total = tally(np.concatenate(codes), np.concatenate(code_n))
         chance = Trie(pairs, code, total).log10(code)
         word, count = tally(np.concatenate(words), np.concatenate(word_n))
-        rows = [(-1, b"", b"", int(count.sum()), int((count > 0).sum()))]
-        for block, c, w in zip(table.column("block").to_pylist(), codes, words, strict=True):
-            rows.append((block, packed(value_of(code, chance, c)), packed(value_of(word, count, w).astype(np.int64)), 0, 0))
-        block, c, w, tokens, kinds = zip(*rows, strict=True)
-        return pa.table(
-            {
-                "block": pa.array(block, pa.int32()),
-                "route": pa.array([route] * len(rows), pa.int32()),
-                "codes": pa.array(c, pa.binary()),
-                "words": pa.array(w, pa.binary()),
-                "tokens": pa.array(tokens, pa.int64()),
-                "kinds": pa.array(kinds, pa.int64()),
-            }
-        )
+        chances = [packed_few(value_of(code, chance, c).astype(np.float64)) for c in codes]
+        counts = [packed(value_of(word, count, w).astype(np.int64)) for w in words]
+        kept = table.select(["block", "codes", "words"])
+        with_both = kept.append_column("chances", pa.array(chances, pa.binary())).append_column("counts", pa.array(counts, pa.binary()))
+        return with_both.select(["block", "codes", "chances", "words", "counts"])
 
     return asked.where("route >= 0").groupBy("route").applyInArrow(run, ANSWERS)
 
 
+def learned_words(asked: DataFrame) -> tuple[int, int]:
+    """Learning tokens and distinct learning tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words, word_n = keys_of(table.column("words"), np.uint64), numbers(table.column("word_n"), np.int64)
+        _, count = tally(np.concatenate(words), np.concatenate(word_n))
+        return pa.table({"tokens": [int(count.sum())], "kinds": [int((count > 0).sum())]})
+
+    by_route = asked.where("route >= 0").select("route", "words", "word_n").groupBy("route")
+    total = by_route.applyInArrow(run, "tokens long, kinds long").agg(F.sum("tokens"), F.sum("kinds")).first()
+    return total[0] or 0, total[1] or 0
+
+
 SCORES = "doc_id long, learned boolean, n_tokens long, n_known long, logs double, score double"
 
 
-def scores(blocks: DataFrame, asked: DataFrame, answered: DataFrame) -> DataFrame:
+def scores(blocks: DataFrame, answered: DataFrame) -> DataFrame:
     """Texts of each block with the sums of what was answered; ``logs``: of log10(count + 0.1)."""
 
-    both = asked.where("route >= 0").select("block", "route", "codes", "words").join(
-        answered.where("block >= 0").select(
-            "block", "route", F.col("codes").alias("chances"), F.col("words").alias("counts")
-        ),
-        ["block", "route"],
-    )
-
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
         def joined(keys, values, kind, value):
             if not known.num_rows:
-                return np.empty(0, kind), np.empty(0, value)
+                return np.empty(0, kind), np.empty(0)
             k = np.concatenate(keys_of(known.column(keys), kind))
             order = np.argsort(k)
-            return k[order], np.concatenate(numbers(known.column(values), value))[order]
+            return k[order], np.concatenate([value(x) for x in known.column(values).to_pylist()])[order]
 
-        codes, chances = joined("codes", "chances", np.int64, np.float64)
-        words, counts = joined("words", "counts", np.uint64, np.int64)
+        codes, chances = joined("codes", "chances", np.int64, unpacked_few)
+        words, counts = joined("words", "counts", np.uint64, lambda x: unpacked(x, np.int64))
         end = int(value_of(words, counts, np.array([END]))[0])
         found = table.column("text").to_pylist()
         out = []
@@ -306,7 +319,7 @@ def scores(blocks: DataFrame, asked: DataFrame, answered: DataFrame) -> DataFram
         )
 
     # a block without answers can't be: each asks for the end token
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, SCORES)
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, SCORES)
 
 
 def score_texts(docs: DataFrame, learned: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -333,11 +346,10 @@ def score_texts(docs: DataFrame, learned: Column, id_column: str = "doc_id", tex
     pairs = asked.where("route = -1").select("codes", "code_n").mapInArrow(_pair_rows, "pair long, n long")
     found = pairs.groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0").collect()
     pair = tuple(np.array(x, np.int64) for x in zip(*sorted(map(tuple, found)), strict=True)) if found else ()
-    answered = written_once(answers(asked, pair or (np.empty(0, np.int64), np.empty(0, np.int64))))
-    total = answered.where("block = -1").agg(F.sum("tokens"), F.sum("kinds")).first()
-    tokens, kinds = (x or 0 for x in total)
+    answered = answers(asked, pair or (np.empty(0, np.int64), np.empty(0, np.int64)))
+    tokens, kinds = learned_words(asked)
     whole = tokens + 0.1 * (kinds + 1)
-    return scores(blocks, asked, answered).select(
+    return scores(blocks, answered).select(
         "doc_id",
         "learned",
         "n_tokens",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vouchlens.operators import features, metrics, provider_risk
 from vouchlens.plans import lookup as lk
-from vouchlens.plans import ordered
+from vouchlens.plans import ordered, quantiles
 
 
 @pytest.fixture(scope="module")
@@ -63,21 +63,51 @@ def test_lookup_of_a_big_table_is_not_broadcast(spark, skewed, monkeypatch):
     assert rows(big) == rows(lk.lookup(skewed, stats, "k"))
 
 
+@pytest.mark.parametrize("bounds", [(1_000, 100_000), (10, 100), (10, 10)])
 @pytest.mark.parametrize("groups", [[], ["g"]])
-def test_quantiles_by_ranges(spark, skewed, groups):
-    df = skewed.withColumn("g", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")))
-    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.75, "e": 1.0}
-    want = df.groupBy(*groups).agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in probs.items()])
-    for limit in (0, None):
-        got = ordered.exact_quantiles(df, "v", probs, groups, limit)
-        tidy = [df_.select(*groups, *[F.round(n, 9).alias(n) for n in probs]) for df_ in (got, want)]
-        assert rows(tidy[0]) == rows(tidy[1])
+def test_quantiles_by_brackets(spark, skewed, groups, bounds, monkeypatch):
+    """Equal to the built-in percentile on each of the ways that a group's bounds are taken."""
+    monkeypatch.setattr(quantiles, "WHOLE", bounds[0])
+    monkeypatch.setattr(quantiles, "SOME", bounds[1])
+    if bounds[1] < 20_000:  # bounds that are narrow for many rows must stay two ranks wide for few
+        monkeypatch.setattr(quantiles, "NARROW", 2e-3)
+    wide = F.col("id") % 3 == 0
+    df = skewed.withColumn("g", F.when(wide, "hot").when(F.col("id") < 9, "few").otherwise((F.col("id") % 7).cast("string")))
+    df = df.withColumns({"w": F.sin(F.col("id") * 7) * F.col("id"), "e": F.lit(None).cast("double")})
+    probs = {"a": 0.0, "b": 0.1, "c": 0.3, "d": 0.5, "e": 0.75, "f": 1.0}
+    for few in (False, True):
+        for v in ("v", "w"):
+            want = df.groupBy(*groups).agg(*[F.percentile(v, F.lit(p)).alias(n) for n, p in probs.items()])
+            got = quantiles.exact_quantiles(df, v, probs, groups, few)
+            tidy = [df_.select(*groups, *[F.round(n, 9).alias(n) for n in probs]) for df_ in (got, want)]
+            assert rows(tidy[0]) == rows(tidy[1])
+    both = spark.range(1).select(quantiles.column_quantiles(df, ["v", "w", "e"], probs).alias("q")).first().q
+    for v in ("v", "w"):
+        want = df.agg(*[F.percentile(v, F.lit(p)).alias(n) for n, p in probs.items()]).first()
+        assert list(both[v]) == pytest.approx(list(want))
+    assert list(both.e) == [None] * 6
+
+
+def test_quantiles_of_small_groups_of_every_size(spark):
+    df = spark.range(1, 60).select(F.col("id").alias("g"), F.explode(F.sequence(F.lit(1), F.col("id"))).alias("v"))
+    probs = {f"p{i}": i / 20 for i in range(21)}
+    want = df.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in probs.items()])
+    got = quantiles.exact_quantiles(df, "v", probs, ["g"])
+    tidy = [df_.select("g", *[F.round(n, 9).alias(n) for n in probs]) for df_ in (got, want)]
+    assert rows(tidy[0]) == rows(tidy[1])
 
 
 def test_quantiles_of_nothing(spark, skewed):
     none = skewed.where("id < 0")
-    for limit in (0, None):
-        assert ordered.exact_quantiles(none, "v", {"m": 0.5}, limit=limit).first().m is None
+    assert quantiles.exact_quantiles(none, "v", {"m": 0.5}).first().m is None
+    assert quantiles.exact_quantiles(none, "v", {"m": 0.5}, ["k"]).count() == 0
+
+
+def test_ranges_follow_the_count():
+    assert ordered.ranges_for(10, 1_000_000) == 256
+    for n in (10**9, 10**11):
+        ranges = ordered.ranges_for(n, 1_000_000)
+        assert ranges & (ranges - 1) == 0 and 1_000_000 / 10 < n / ranges <= 1_000_000 / 4
 
 
 @pytest.mark.parametrize("descending", [False, True])

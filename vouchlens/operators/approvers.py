@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vouchlens.functions.columns import fixed, money_mean, money_sum, text
 from vouchlens.operators.row_rules import standard_columns
 from vouchlens.plans.lookup import Measured, lookup, measured
-from vouchlens.plans.ordered import exact_quantiles
+from vouchlens.plans.quantiles import exact_quantiles
 from vouchlens.roles import PaymentRoles
 
 # Patterns of suspicious names and the percentiles of the rule.
@@ -82,7 +82,7 @@ def judged_approvers(
                 F.create_map(F.lit("n"), F.col(n).cast("double"), F.lit("mean"), F.col(mean))
             ).alias("m", "v")
         )
-        edges = exact_quantiles(figures, "v", {"f": frequency, "lo": low, "hi": high}, ["m"])
+        edges = exact_quantiles(figures, "v", {"f": frequency, "lo": low, "hi": high}, ["m"], few_groups=True)
 
         def edge(metric: str, name: str) -> Column:
             return F.max(F.when(F.col("m") == metric, F.col(name)))

@@ -18,7 +18,7 @@ from vouchlens.functions.columns import (
     text,
 )
 from vouchlens.plans.counts import value_counts
-from vouchlens.plans.ordered import quantile_values
+from vouchlens.plans.quantiles import quantile_values
 from vouchlens.roles import CaseRoles
 
 # Scales, weights, bounds, SLA days, approval levels and texts.

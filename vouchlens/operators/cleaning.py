@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouchlens.functions.columns import any_of, clipped, flag, share
-from vouchlens.plans.ordered import column_modes, column_quantiles
+from vouchlens.plans.ordered import column_modes
+from vouchlens.plans.quantiles import column_quantiles
 from vouchlens.roles import VALID_CATEGORIES, HistoryRoles
 from vouchlens.session import written_once
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vouchlens.functions.columns import lookup_value
 from vouchlens.plans.hash_order import dated_cuts, position_cuts, shuffled
 from vouchlens.plans.lookup import lookup
-from vouchlens.plans.ordered import column_quantiles
+from vouchlens.plans.quantiles import column_quantiles
 from vouchlens.roles import ORDINAL_LEVELS, HistoryRoles
 
 RISK_THRESHOLD = 0.5

@@ -20,7 +20,8 @@ from vouchlens.functions.columns import (
     unit_mean,
 )
 from vouchlens.plans.lookup import Measured, measured
-from vouchlens.plans.ordered import quantile_values, with_row_number
+from vouchlens.plans.ordered import with_row_number
+from vouchlens.plans.quantiles import quantile_values
 from vouchlens.roles import HistoryRoles
 
 # Weights, bounds, thresholds, severities and components.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vouchlens.functions.columns import lookup_value, money_mean, money_sum, share
 from vouchlens.operators.features import fit_levels
 from vouchlens.plans.lookup import Measured, measured
-from vouchlens.plans.ordered import quantile_values
+from vouchlens.plans.quantiles import quantile_values
 from vouchlens.roles import SupplierRoles
 
 # Scales, segments, policies, limits.

@@ -1,7 +1,6 @@
-"""Ranks, running totals and exact quantiles of whole columns.
+"""Ranks and running totals of whole columns.
 
-An unpartitioned window or a plain ``percentile`` gathers a column in one task.
-Here the distinct values are counted first (so a value held by many rows is one
+An unpartitioned window gathers a column in one task. Here the distinct values are counted first (so a value held by many rows is one
 row), cut into ranges of about equal size by a sketch, and summed range by range:
 only a table with one row per range is ever ordered as a whole.
 """
@@ -15,8 +14,9 @@ from pyspark.sql import functions as F
 
 from vouchlens.plans.lookup import Measured, measured
 
-RANGES = 256
 TASK_ROWS = 1_000_000  # distinct values one task may hold
+RANGES = 256  # ranges at least, where one task may not hold them
+SHARE = 4  # a range is meant to hold 1 / SHARE of what a task may: the sketch's cuts are not even
 
 
 def _range_number(value: Column, cuts: Column, ranges: int) -> Column:
@@ -36,7 +36,7 @@ def _range_number(value: Column, cuts: Column, ranges: int) -> Column:
 def with_range(df: DataFrame, key: str, out: str = "_range", ranges: int = RANGES) -> DataFrame:
     """Adds the number of the value range that ``key`` falls into (0..ranges-1)."""
     points = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(key, points, 10_000).alias("c")).scalar()
+    cuts = df.agg(F.percentile_approx(key, points, max(10_000, 20 * ranges)).alias("c")).scalar()
     return (
         df.withColumn("_cuts", cuts)
         .withColumn(out, _range_number(F.col(key), F.col("_cuts"), ranges))
@@ -44,6 +44,11 @@ def with_range(df: DataFrame, key: str, out: str = "_range", ranges: int = RANGE
     )
 
 
+def ranges_for(rows: int, limit: int) -> int:
+    """Ranges (a power of two) so that none holds more than about 1 / SHARE of what a task may."""
+    return max(RANGES, 1 << (SHARE * rows // max(limit, 1)).bit_length()) if limit else RANGES
+
+
 def _direction(name: str, descending: bool) -> Column:
     return F.col(name).desc() if descending else F.col(name).asc()
 
@@ -61,9 +66,10 @@ def running_totals(
     ``cells`` has one row per (groups, order); the first order column is numeric.
     Cells are computed once; up to ``limit`` of them one window per group will do.
     """
-    known = measured(cells, TASK_ROWS if limit is None else limit)
+    limit = TASK_ROWS if limit is None else limit
+    known = measured(cells, limit)
     if not known.small:
-        return _by_ranges(known.df, order, sums, groups, descending)
+        return _by_ranges(known.df, order, sums, groups, descending, ranges_for(known.df.count(), limit))
     whole = Window.partitionBy(*groups)
     ahead = whole.orderBy(*[_direction(o, descending) for o in order]).rowsBetween(
         Window.unboundedPreceding, -1
@@ -96,7 +102,7 @@ def _by_ranges(
         *[F.sum(f"_sum_{s}").over(whole).alias(f"{s}_total") for s in sums],
     )
     if not groups:
-        offsets = F.broadcast(offsets)  # at most `ranges` rows
+        offsets = F.broadcast(offsets)  # at most `ranges` rows, a millionth of the cells
     within = (
         Window.partitionBy(*groups, "_range")
         .orderBy(*[_direction(o, descending) for o in order])
@@ -114,75 +120,6 @@ def _by_ranges(
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    value: Column | str,
-    probs: dict[str, float],
-    groups: Sequence[str] = (),
-    limit: int | None = None,
-) -> DataFrame:
-    """Linear-interpolated quantiles, one column per name in ``probs``.
-
-    One row per group (one row in all without groups); missing values are left out.
-    Distinct values are counted, so a value held by many rows is one row, and ranked
-    by their running count.
-    """
-    groups = list(groups)
-    value = F.col(value) if isinstance(value, str) else value
-    kept = df.select(*groups, value.cast("double").alias("_v")).where(
-        " AND ".join(f"`{c}` IS NOT NULL" for c in ["_v", *groups])
-    )
-    cells = kept.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("n"))
-    run = running_totals(cells, ["_v"], ["n"], groups, limit=limit)
-
-    def at(rank: Column) -> Column:
-        inside = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-        return F.max(F.when(inside, F.col("_v")))
-
-    spots = {name: (F.col("n_total") - 1) * p for name, p in probs.items()}
-    edges = run.groupBy(*groups).agg(
-        *[at(F.floor(s)).alias(f"_lo_{name}") for name, s in spots.items()],
-        *[at(F.ceil(s)).alias(f"_hi_{name}") for name, s in spots.items()],
-        F.max("n_total").alias("_n"),
-    )
-    return edges.select(
-        *groups,
-        *[
-            (
-                F.col(f"_lo_{name}")
-                + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
-                * ((F.col("_n") - 1) * p - F.floor((F.col("_n") - 1) * p))
-            ).alias(name)
-            for name, p in probs.items()
-        ],
-    )
-
-
-def quantile_values(
-    table: DataFrame | Measured, value: Column | str, probs: dict[str, float]
-) -> Column:
-    """The quantiles of a whole column as one struct-valued scalar subquery.
-
-    For a table measured as small the built-in exact percentile does.
-    """
-    if isinstance(table, Measured) and table.small:
-        built_in = [F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()]
-        return table.df.agg(F.struct(*built_in).alias("q")).scalar()
-    df = table.df if isinstance(table, Measured) else table
-    q = exact_quantiles(df, value, probs)
-    return q.select(F.struct(*probs).alias("q")).scalar()
-
-
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float]) -> Column:
-    """Quantiles of several columns from one pass: a struct of structs, as a scalar subquery."""
-    long = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])))
-    q = exact_quantiles(long, "col", probs, ["pos"])
-    per_column = [
-        F.max(F.when(F.col("pos") == i, F.struct(*probs))).alias(c) for i, c in enumerate(columns)
-    ]
-    return q.agg(F.struct(*per_column).alias("q")).scalar()
-
-
 def column_modes(df: DataFrame, columns: Sequence[str]) -> Column:
     """Most frequent value per column, the smallest on a tie, as one scalar subquery."""
     long = df.select(F.posexplode(F.array(*[F.col(c) for c in columns]))).where("col IS NOT NULL")
@@ -203,7 +140,8 @@ def with_row_number(
 
     ``key`` is numeric and unique; equal ``order`` values are split by ranges of it.
     """
-    ranged = with_range(df, key, "_key_range")
+    wanted = ranges_for(df.count(), TASK_ROWS if limit is None else limit)
+    ranged = with_range(df, key, "_key_range", wanted)
     cells = ranged.groupBy(order, "_key_range").agg(F.count(F.lit(1)).alias("_n"))
     run = running_totals(cells, [order, "_key_range"], ["_n"], limit=limit).select(
         order, "_key_range", "_n_before"

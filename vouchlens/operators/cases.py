@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -363,8 +364,19 @@ def assignee_alerts(load: DataFrame) -> DataFrame:
     )
 
 
-def pattern_alerts(df: DataFrame, r: CaseRoles) -> DataFrame:
+@dataclass(frozen=True)
+class PatternLimits:
+    """When a pattern is an alert: cases of a type over the mean, share of open cases, share from a quantile of amounts on."""
+
+    crowded: float = 2.0
+    open_share: float = 0.4
+    large_from: float = 0.95
+    large_share: float = 0.1
+
+
+def pattern_alerts(df: DataFrame, r: CaseRoles, limits: PatternLimits | None = None) -> DataFrame:
     """Crowded case types, a high share of open cases, many very large amounts."""
+    limits = limits or PatternLimits()
     per_type = (
         df.where(F.col(r.type).isNotNull())
         .groupBy(F.col(r.type).alias("_type"))
@@ -374,7 +386,7 @@ def pattern_alerts(df: DataFrame, r: CaseRoles) -> DataFrame:
     names = ["tipo", "descripcion", "valor_normal", "recomendacion"]
     crowded = (
         per_type.withColumn("_m", mean)
-        .where(F.col("_n") > F.col("_m") * 2)
+        .where(F.col("_n") > F.col("_m") * limits.crowded)
         .select(
             F.lit("CONCENTRACIÓN_TIPO").alias("tipo"),
             text("Alto volumen de casos '{}': {} casos", F.col("_type"), F.col("_n")).alias(
@@ -384,7 +396,7 @@ def pattern_alerts(df: DataFrame, r: CaseRoles) -> DataFrame:
             F.lit("Revisar proceso fuente de este tipo de caso").alias("recomendacion"),
         )
     )
-    edge = quantile_values(df, r.amount, {"top": 0.95})
+    edge = quantile_values(df, r.amount, {"top": limits.large_from})
     marked = df.withColumn("_top", edge.getField("top"))
     figures = marked.agg(
         F.count(F.lit(1)).alias("n"),
@@ -399,22 +411,22 @@ def pattern_alerts(df: DataFrame, r: CaseRoles) -> DataFrame:
     found = present(
         [
             F.when(
-                F.col("ratio") > 0.4,
+                F.col("ratio") > limits.open_share,
                 row(
                     F.lit("ACUMULACIÓN_ABIERTOS"),
                     text("El {}% de casos están abiertos", fixed(F.col("ratio") * 100, 1)),
-                    F.lit("Menos del 40% abiertos"),
+                    F.lit(f"Menos del {limits.open_share * 100:.0f}% abiertos"),
                     F.lit("Aumentar capacidad de procesamiento"),
                 ),
             ),
             F.when(
-                F.col("large") > F.col("n") * 0.1,
+                F.col("large") > F.col("n") * limits.large_share,
                 row(
                     F.lit("CONCENTRACIÓN_MONTO"),
                     text(
                         "{} casos con monto >= ${}", F.col("large"), F.format_number("top", 2)
                     ),
-                    F.lit("Máximo 5% de casos con montos muy altos"),
+                    F.lit(f"Máximo {(1 - limits.large_from) * 100:.0f}% de casos con montos muy altos"),
                     F.lit("Revisar umbrales de escalación"),
                 ),
             ),

@@ -198,18 +198,18 @@ def model_comparison(df: DataFrame, group: str) -> DataFrame:
     return report.where(F.col("class") == "1").select(group, "accuracy", "precision", "recall", "f1")
 
 
-def score_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Scores of each true class in equal bins over that class's own range."""
-    edges = df.groupBy(LABEL).agg(F.min(SCORE).alias("lo"), F.max(SCORE).alias("hi"))
-    by_class = {
-        c: edges.where(F.col(LABEL) == c).agg(F.struct(F.max("lo").alias("lo"), F.max("hi").alias("hi"))).scalar()
-        for c in (0, 1)
-    }
-    e = F.when(F.col(LABEL) == 0, by_class[0]).otherwise(by_class[1])
-    binned = df.where(F.col(LABEL).isin(0, 1) & F.col(SCORE).isNotNull()).withColumn("_e", e)
+def score_histogram(df: DataFrame, groups: Sequence[str] = (), bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """Scores of each true class in equal bins over that class's own range, per group.
+
+    The ranges are broadcast: a row for each group and class, groups being models or splits.
+    """
+    keys = [*groups, LABEL]
+    kept = df.where(F.col(LABEL).isin(0, 1) & F.col(SCORE).isNotNull())
+    edges = kept.groupBy(*keys).agg(F.min(SCORE).alias("_lo"), F.max(SCORE).alias("_hi"))
     return (
-        binned.withColumn("bin", equal_width_bin(F.col(SCORE), F.col("_e.lo"), F.col("_e.hi"), bins))
-        .groupBy(LABEL, "bin")
+        kept.join(F.broadcast(edges), keys)
+        .withColumn("bin", equal_width_bin(F.col(SCORE), F.col("_lo"), F.col("_hi"), bins))
+        .groupBy(*keys, "bin")
         .agg(F.count(F.lit(1)).alias("cases"))
     )
 

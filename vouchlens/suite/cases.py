@@ -40,6 +40,8 @@ def _rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+LIMITS = op.PatternLimits(crowded=1.0, open_share=0.25, large_from=0.9, large_share=0.05)
+
 QUERIES = {
     "IO4_prepared_cases": lambda s, d: _texts(_prepared(s, d), "date"),
     "X1_priority": lambda s, d: _rounded(
@@ -81,19 +83,8 @@ QUERIES = {
     "X14_assignee_load": lambda s, d: op.assignee_load(_prepared(s, d), R),
     "X15_assignee_alerts": lambda s, d: op.assignee_alerts(op.assignee_load(_prepared(s, d), R)),
     "X16_pattern_alerts": lambda s, d: op.pattern_alerts(_prepared(s, d), R),
-    # coarser states, capped amounts and many small types, so that every rule fires
-    "X16_pattern_alerts_all_rules": lambda s, d: op.pattern_alerts(
-        _prepared(s, d).withColumns(
-            {
-                "type": F.when(F.year("date") < 1999, "antes").otherwise(
-                    F.date_format("date", "yyyy-MM")
-                ),
-                "state": F.when(F.col("state") == "Cerrado", "Cerrado").otherwise("Abierto"),
-                "amount": F.least("amount", F.lit(40000.0)),
-            }
-        ),
-        R,
-    ),
+    # limits at which every rule fires on these rows
+    "X16_pattern_alerts_all_rules": lambda s, d: op.pattern_alerts(_prepared(s, d), R, LIMITS),
     "X17_alert_report": lambda s, d: op.alert_report(_classified(s, d), R),
     "X18_overview_totals": lambda s, d: op.overview_totals(_classified(s, d), R),
     "X18_overview_counts": lambda s, d: op.overview_counts(_classified(s, d), R),
@@ -161,19 +152,20 @@ alerts AS (
     'Escalar casos complejos o asignar apoyo' FROM load WHERE alta_complejidad > 5)"""
 
 
-def _patterns(kind):
-    return f""", kinds AS (SELECT {kind} AS kind, count(*) AS n FROM cases GROUP BY 1),
+def _patterns(limits=op.PatternLimits(), top="p95"):
+    return f""", kinds AS (SELECT type AS kind, count(*) AS n FROM cases GROUP BY 1),
 mean AS (SELECT avg(n) AS m FROM kinds),
-sums AS (SELECT count(*) AS n, count(*) FILTER (state = 'Abierto') / count(*) AS ratio, count(*) FILTER (amount >= p95) AS large,
-  max(p95) AS top FROM scored),
+sums AS (SELECT count(*) AS n, count(*) FILTER (state = 'Abierto') / count(*) AS ratio, count(*) FILTER (amount >= {top}) AS large,
+  max({top}) AS top FROM scored, (SELECT quantile_cont(amount, {limits.large_from}) AS pq FROM cases)),
 patterns AS (
   SELECT 'CONCENTRACIÓN_TIPO' AS tipo, 'Alto volumen de casos ''' || kind || ''': ' || n || ' casos' AS descripcion,
     format('{{:.0f}}', m) || ' casos promedio' AS valor_normal, 'Revisar proceso fuente de este tipo de caso' AS recomendacion
-  FROM kinds, mean WHERE n > m * 2
+  FROM kinds, mean WHERE n > m * {limits.crowded}
   UNION ALL SELECT 'ACUMULACIÓN_ABIERTOS', 'El ' || format('{{:.1f}}', ratio * 100) || '% de casos están abiertos',
-    'Menos del 40% abiertos', 'Aumentar capacidad de procesamiento' FROM sums WHERE ratio > 0.4
+    'Menos del {limits.open_share * 100:.0f}% abiertos', 'Aumentar capacidad de procesamiento' FROM sums WHERE ratio > {limits.open_share}
   UNION ALL SELECT 'CONCENTRACIÓN_MONTO', large || ' casos con monto >= $' || format('{{:,.2f}}', top),
-    'Máximo 5% de casos con montos muy altos', 'Revisar umbrales de escalación' FROM sums WHERE large > n * 0.1) """
+    'Máximo {(1 - limits.large_from) * 100:.0f}% de casos con montos muy altos', 'Revisar umbrales de escalación'
+  FROM sums WHERE large > n * {limits.large_share}) """
 
 
 def _counts(pairs):
@@ -232,14 +224,10 @@ SQL = {
     "X14_assignee_load": CHAIN
     + "SELECT *, casos_abiertos * 3 + casos_en_proceso * 2 + alta_complejidad * 2 AS indice_carga FROM load",
     "X15_assignee_alerts": CHAIN + "SELECT * FROM alerts",
-    "X16_pattern_alerts": CHAIN + _patterns("type") + "SELECT * FROM patterns",
-    "X16_pattern_alerts_all_rules": CHAIN.replace("o_totalprice / 10 AS amount", "least(o_totalprice / 10, 40000) AS amount").replace(
-        "WHEN 'P' THEN 'En Proceso'", "WHEN 'P' THEN 'Abierto'"
-    )
-    + _patterns("CASE WHEN year(day) < 1999 THEN 'antes' ELSE strftime(day, '%Y-%m') END")
-    + "SELECT * FROM patterns",
+    "X16_pattern_alerts": CHAIN + _patterns() + "SELECT * FROM patterns",
+    "X16_pattern_alerts_all_rules": CHAIN + _patterns(LIMITS, "pq") + "SELECT * FROM patterns",
     "X17_alert_report": CHAIN
-    + _patterns("type")
+    + _patterns()
     + """SELECT 'total_casos_criticos' AS item, count(*) AS total FROM critical
       UNION ALL SELECT 'total_alertas', count(*) FROM alerts UNION ALL SELECT 'total_anomalias', count(*) FROM patterns""",
     "X18_overview_totals": CHAIN

@@ -110,9 +110,7 @@ QUERIES = {
     "M6_grid_search": _search,
     "M8_binary_metrics": lambda s, d: _r(metrics.binary_metrics(_pred(s, d), G)),
     "M9_roc_auc": lambda s, d: _r(metrics.ranking_metrics(_pred(s, d), G).drop("average_precision")),
-    "M9_roc_auc_ungrouped": lambda s, d: _r(
-        metrics.ranking_metrics(_pred(s, d).where("model = 'a'")).select("roc_auc")
-    ),
+    "M9_roc_auc_ungrouped": lambda s, d: _r(metrics.ranking_metrics(_pred(s, d)).select("roc_auc")),
     "M10_average_precision": lambda s, d: _r(
         metrics.ranking_metrics(_pred(s, d), G).drop("roc_auc")
     ),
@@ -132,7 +130,7 @@ QUERIES = {
     "M18_model_comparison": lambda s, d: _r(
         metrics.model_comparison(_pred(s, d).where("split = 'test'"), "model")
     ),
-    "M19_score_histogram": lambda s, d: metrics.score_histogram(_pred(s, d).where("model = 'a'")),
+    "M19_score_histogram": lambda s, d: metrics.score_histogram(_pred(s, d), ["model"]),
     "M20_train_and_evaluate": _end_to_end,
     "E3_threshold_sweep": lambda s, d: _r(metrics.threshold_sweep(_pred(s, d), G)),
     "IO13_saved_model": _saved,
@@ -216,7 +214,7 @@ SQL = {
     "M8_binary_metrics": CHAIN + f"SELECT model, split, {_8(*_bin)} FROM kappa",
     "M9_roc_auc": CHAIN + f"SELECT model, split, {_8('roc_auc')} FROM ranks",
     "M9_roc_auc_ungrouped": CHAIN
-    + """, c2 AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM pred WHERE model = 'a' GROUP BY score),
+    + """, c2 AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM pred GROUP BY score),
       r2 AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS cp FROM c2)
       SELECT round(sum(neg * (cp - pos + cp) / 2.0) / (CAST(sum(pos) AS DOUBLE) * sum(neg)), 8) AS roc_auc FROM r2""",
     "M10_average_precision": CHAIN + f"SELECT model, split, {_8('average_precision')} FROM ranks",
@@ -246,9 +244,9 @@ SQL = {
     "M18_model_comparison": CHAIN
     + f"SELECT model, {_8('accuracy', 'precision', 'recall', 'f1')} FROM rates WHERE split = 'test'",
     "M19_score_histogram": CHAIN
-    + """SELECT p.label, CAST(least(floor((score - lo) * 30.0 / (hi - lo)), 29) AS BIGINT) AS bin, count(*) AS cases
-      FROM pred p JOIN (SELECT label, min(score) AS lo, max(score) AS hi FROM pred WHERE model = 'a' GROUP BY label) e ON p.label = e.label
-      WHERE model = 'a' GROUP BY ALL""",
+    + """SELECT p.model, p.label, CAST(least(floor((score - lo) * 30.0 / (hi - lo)), 29) AS BIGINT) AS bin, count(*) AS cases
+      FROM pred p JOIN (SELECT model, label, min(score) AS lo, max(score) AS hi FROM pred GROUP BY ALL) e
+        ON p.label = e.label AND p.model = e.model GROUP BY ALL""",
     "E3_threshold_sweep": CHAIN
     + """SELECT model, split, t AS threshold, round(tp / claimed, 8) AS precision, round(tp / actual, 8) AS recall,
         round(2 * tp / (claimed + actual), 8) AS f1 FROM (

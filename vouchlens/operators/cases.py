@@ -149,17 +149,25 @@ def sla_days(r: CaseRoles) -> Column:
 
 
 def escalation_matrix(spark) -> DataFrame:
-    rows = []
-    for kind, days in SLA_DAYS.items():
-        for level, limit in zip(LEVELS, days, strict=True):
-            needed = APPROVAL_LEVELS[level]
-            yes_no = ["Sí" if n in needed else "No" for n in ("Supervisor", "Gerencia")]
-            rows.append((kind, level, limit, limit * 24, "Sí", *yes_no, len(needed)))
-    return spark.createDataFrame(
-        rows,
-        "tipo_caso string, complejidad string, sla_dias double, sla_horas double, "
-        "nivel_1_operativo string, nivel_2_supervisor string, nivel_3_gerencia string, "
-        "aprobadores_requeridos int",
+    """Types by levels: what each cell allows follows from the fixed tables by column expressions."""
+    days = F.create_map(*[x for kind, d in SLA_DAYS.items() for x in (F.lit(kind), F.array(*map(F.lit, d)))])
+    types = spark.range(1).select(F.explode(days).alias("tipo_caso", "_days"))
+    cells = types.select("tipo_caso", "_days", F.posexplode(F.array(*map(F.lit, LEVELS))).alias("_at", "complejidad"))
+    needed = lookup_value(F.col("complejidad"), {k: ",".join(v) for k, v in APPROVAL_LEVELS.items()})
+    approvers = F.split(needed, ",")
+
+    def asked(level: str) -> Column:
+        return F.when(F.array_contains(approvers, level), "Sí").otherwise("No")
+
+    return cells.select(
+        "tipo_caso",
+        "complejidad",
+        F.get("_days", "_at").alias("sla_dias"),
+        (F.get("_days", "_at") * 24).alias("sla_horas"),
+        F.lit("Sí").alias("nivel_1_operativo"),
+        asked("Supervisor").alias("nivel_2_supervisor"),
+        asked("Gerencia").alias("nivel_3_gerencia"),
+        F.size(approvers).alias("aprobadores_requeridos"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vouchlens.roles import PAYMENTS_CSV
 from vouchlens.session import scratch_path
 from vouchlens.sources import readers, sinks
+from vouchlens.sources.digests import content, content_sql
 from vouchlens.sources.role_views import history, payments, policy_documents
 from vouchlens.suite import cases as case_suite
 from vouchlens.suite import history as history_suite
@@ -69,13 +70,40 @@ def _io5(s, d):
     ).select("t.supplier_id", "t.supplier_type", "t.status", "t.due_date", "has_policy")
 
 
-def _counts(s, folder, tables, kind="parquet") -> DataFrame:
-    """Rows of each written table, counted from the files."""
+#: Columns by which each written table is compared (``:n`` for numbers), and the query that has its rows in SQL.
+CONTENTS = {
+    "anomalies_full": "id:n part:n supplier:n amount:n total_anomalies:n has_any_anomaly",
+    "anomalies_only": "id:n part:n supplier:n amount:n total_anomalies:n has_any_anomaly",
+    "statistics": "section item cases:n",
+    "financial_impact": "category estimated_impact:n cases:n",
+    "preprocessed": "id:n part:n risk_target:n amount_scaled:n indicator_encoded:n",
+    "train": "id:n part:n risk_target:n amount_scaled:n indicator_encoded:n",
+    "test": "id:n part:n risk_target:n amount_scaled:n indicator_encoded:n",
+    "segmentacion": "supplier:n score_performance:n nivel_performance score_riesgo:n segmento_riesgo num_certificaciones:n",
+    "matriz_aprobacion": "segmento limite_credito_max:n condiciones_pago descuento_maximo:n requiere_aprobacion num_proveedores:n",
+    "recomendaciones_credito": "supplier:n size country segmento_riesgo nivel_performance credit:n limite_recomendado:n accion_credito",
+    "politicas_pago": "supplier_type authorization_limit:n discount_bulk_order:n",
+    "transacciones": "transaction_id supplier_id:n supplier_type amount:n payment_terms status num_related_transactions:n",
+    "inconsistencias": "transaction_id tipo_inconsistencia descripcion severidad limite:n exceso:n",
+    "validacion_estructura": "section item",
+    "validacion_integridad": "check item cases:n",
+    "casos_clasificados": "case_id:n score_prioridad:n nivel_urgencia segmento_riesgo",
+    "flujo_trabajo": "type complexity amount:n state assignee ruta_escalacion sla_dias:n estado_sla",
+    "tendencias_tipo": "tipo_caso total_casos:n monto_total:n casos_abiertos:n casos_alta_complejidad:n porcentaje:n tasa_resolucion:n",
+    "reporte_responsables": "responsable total_casos:n casos_cerrados:n monto_gestionado:n tasa_resolucion:n score_eficiencia:n",
+    "matriz_escalacion": "tipo_caso complejidad sla_dias:n sla_horas:n nivel_1_operativo nivel_2_supervisor nivel_3_gerencia aprobadores_requeridos:n",
+    "casos_criticos": "case_id:n razon_critico",
+    "metricas_responsables": "responsable total_casos:n alta_complejidad:n monto_total:n promedio_antiguedad:n indice_carga:n",
+}
+
+
+def _contents(s, folder, tables, kind="parquet") -> DataFrame:
+    """Rows and digest of each written table, read from the files."""
 
     def one(name):
-        options = {"header": True} if kind == "csv" else {}
+        options = {"header": True, "escape": '"'} if kind == "csv" else {}
         df = s.read.options(**options).format(kind).load(f"{folder}/{name}")
-        return df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        return content(df, CONTENTS[name]).select(F.lit(name).alias("name"), "rows", "digest")
 
     return reduce(DataFrame.unionByName, [one(n) for n in tables])
 
@@ -83,7 +111,7 @@ def _counts(s, folder, tables, kind="parquet") -> DataFrame:
 def _exported(s, tables, name, kind="parquet"):
     folder = scratch_path(s, name)
     sinks.export(tables, folder, kind)
-    return _counts(s, folder, tables, kind)
+    return _contents(s, folder, tables, kind)
 
 
 def _io6(s, d):
@@ -140,13 +168,15 @@ QUERIES = {
 }
 
 
-def _rows(chain, **counts):
-    return chain + " UNION ALL ".join(
-        f"SELECT '{name}' AS name, count(*) AS rows FROM {source}" for name, source in counts.items()
+def _written(**sources):
+    """Rows and digest of each table from the SQL of its rows."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS name, * FROM ({content_sql(source, CONTENTS[name])})" for name, source in sources.items()
     )
 
 
-_P, _C, _S, _J = payment_suite.CHAIN, case_suite.CHAIN, supplier_suite.CHAIN, nested_suite.CHAIN
+_P, _S, _J = payment_suite.CHAIN, supplier_suite.CHAIN, nested_suite.CHAIN
+_F9 = history_suite.SQL["F9_features_and_split"]
 SQL = {
     "IO1_payments_csv": _P
     + """SELECT id AS "ID_transaccion", supplier AS proveedor_id, CAST(invoice_date AS VARCHAR) AS fecha_factura,
@@ -160,41 +190,40 @@ SQL = {
     "IO5_nested_json": _J
     + """SELECT supplier_id, supplier_type, status, CASE WHEN k % 53 = 0 THEN 'pronto' ELSE CAST(due_date AS VARCHAR) END AS due_date,
         k % 59 <> 0 AS has_policy FROM d""",
-    "IO6_export_anomalies": _rows(
-        payment_suite._stats + payment_suite._rules,
-        anomalies_full="found",
-        anomalies_only="(SELECT * FROM found WHERE has_any_anomaly)",
-        statistics="(SELECT 1 FROM stats UNION ALL SELECT 1 FROM rules UNION ALL SELECT 1 FROM range(3) "
-        "UNION ALL SELECT 1 FROM (SELECT DISTINCT total_anomalies FROM found))",
-        financial_impact="range(5)",
+    "IO6_export_anomalies": _written(
+        anomalies_full=_P + "SELECT * FROM found",
+        anomalies_only=_P + "SELECT * FROM found WHERE has_any_anomaly",
+        statistics=payment_suite.SQL["C8_summary"],
+        financial_impact=payment_suite.SQL["C9_financial_impact"],
     ),
     "IO6_anomalies_only": _P + "SELECT id, part, total_anomalies FROM found WHERE has_any_anomaly",
-    "IO8_export_splits": f"""WITH {HISTORY}, n AS (SELECT count(*) AS n FROM history)
-        SELECT 'preprocessed' AS name, n AS rows FROM n UNION ALL SELECT 'train', CAST(floor(n * (1 - CAST(0.2 AS DOUBLE))) AS BIGINT) FROM n
-        UNION ALL SELECT 'test', n - CAST(floor(n * (1 - CAST(0.2 AS DOUBLE))) AS BIGINT) FROM n""",
+    "IO8_export_splits": _written(
+        preprocessed=_F9,
+        train=f"SELECT * FROM ({_F9}) WHERE split = 'train'",
+        test=f"SELECT * FROM ({_F9}) WHERE split = 'test'",
+    ),
     "IO9_export_providers": provider_suite._A
     + """SELECT supplier, risk_category, risk_rank,
         (SELECT CAST(count(*) AS INTEGER) FROM alerts WHERE alerts.supplier = scores.supplier) AS alert_count FROM scores""",
-    "IO10_export_suppliers": _rows(
-        _S, segmentacion="done", matriz_aprobacion="range(4)", recomendaciones_credito="credit"
+    "IO10_export_suppliers": _written(
+        segmentacion=_S + "SELECT * FROM done",
+        matriz_aprobacion=supplier_suite.SQL["S9_approval_matrix"],
+        recomendaciones_credito=supplier_suite.SQL["S10_credit_recommendations"],
     ),
-    "IO11_export_documents": _rows(
-        _J
-        + f", report AS ({nested_suite.SQL['J6_structure_report'][len(_J):]}), integrity AS ({nested_suite.SQL['J15_integrity_report'][len(_J):]}) ",
-        politicas_pago="pol",
-        transacciones="d",
-        inconsistencias="inc",
-        validacion_estructura="report",
-        validacion_integridad="integrity",
+    "IO11_export_documents": _written(
+        politicas_pago=nested_suite.SQL["J7_policies"],
+        transacciones=nested_suite.SQL["J8_transactions"],
+        inconsistencias=nested_suite.SQL["J19_inconsistencies"],
+        validacion_estructura=nested_suite.SQL["J6_structure_report"],
+        validacion_integridad=nested_suite.SQL["J15_integrity_report"],
     ),
-    "IO12_export_cases": _rows(
-        _C,
-        casos_clasificados="classified",
-        flujo_trabajo="flow",
-        tendencias_tipo="(SELECT DISTINCT type FROM cases)",
-        reporte_responsables="(SELECT DISTINCT assignee FROM cases)",
-        matriz_escalacion="range(24)",
-        casos_criticos="critical",
-        metricas_responsables="load",
+    "IO12_export_cases": _written(
+        casos_clasificados=case_suite.SQL["X5_classified_cases"],
+        flujo_trabajo=case_suite.SQL["X10_workflow"],
+        tendencias_tipo=case_suite.SQL["X19_type_trends"],
+        reporte_responsables=case_suite.SQL["X20_assignee_report"],
+        matriz_escalacion=case_suite.SQL["X6_escalation_matrix"],
+        casos_criticos=case_suite.SQL["X12_critical_cases"],
+        metricas_responsables=case_suite.SQL["X14_assignee_load"],
     ),
 }

@@ -27,19 +27,34 @@ CASES_SCHEMA = """tipo_caso string, nivel_complejidad string, fecha_incidencia d
   comentarios string"""
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, names: list[str] | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: str, names: list[str] | None = None, malformed: str | None = None
+) -> DataFrame:
     """A CSV with a header, whose columns may come in any order.
 
     ``names`` is the order in the file; columns the schema lacks are read as text
     and dropped. A file of the folder with another header is an error when it is read.
+    Values that don't fit their type are null; ``malformed`` names a column that keeps the
+    whole line of such a row (null for others).
     """
     wanted = spark.createDataFrame([], schema).schema
     if names is None:
         names = [f.name for f in wanted.fields]
     types = {f.name: f.dataType.simpleString() for f in wanted.fields}
     in_file = ", ".join(f"`{n}` {types.get(n, 'string')}" for n in names)
-    df = spark.read.csv(path, schema=in_file, header=True, enforceSchema=False, quote='"', escape='"')
-    return df.select(*[n for n in names if n in types])
+    options = {"header": True, "enforceSchema": False, "quote": '"', "escape": '"'}
+    if malformed:
+        in_file += f", `{malformed}` string"
+        options["columnNameOfCorruptRecord"] = malformed
+    df = spark.read.csv(path, schema=in_file, **options)
+    return df.select(*[n for n in names if n in types], *([malformed] if malformed else []))
+
+
+def malformed_counts(df: DataFrame, malformed: str) -> DataFrame:
+    """Rows read and rows of them with a line that didn't fit, in one pass over all columns."""
+    # a line is checked in the columns that are read only, so the count looks at all of them: a remainder of one is zero
+    read = F.count(F.lit(1)) + F.coalesce(F.sum(F.xxhash64(*df.columns) % 1), F.lit(0))
+    return df.agg(read.alias("rows"), F.count(malformed).alias("malformed"))
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -55,13 +70,13 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, HISTORY_SCHEMA, header(spark, path))
 
 
-def read_suppliers(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, SUPPLIERS_SCHEMA, header(spark, path))
+def read_suppliers(spark: SparkSession, path: str, malformed: str | None = None) -> DataFrame:
+    return read_csv(spark, path, SUPPLIERS_SCHEMA, header(spark, path), malformed)
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
+def read_cases(spark: SparkSession, path: str, malformed: str | None = None) -> DataFrame:
     """Adds a case id from all columns, to break ties in a reproducible way."""
-    df = read_csv(spark, path, CASES_SCHEMA, header(spark, path))
+    df = read_csv(spark, path, CASES_SCHEMA, header(spark, path), malformed)
     return df.withColumn("case_id", F.xxhash64(*df.columns))
 
 

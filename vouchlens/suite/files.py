@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouchlens.roles import PAYMENTS_CSV
+from vouchlens.operators.cases import prepare
+from vouchlens.operators.suppliers import parse_suppliers
+from vouchlens.roles import PAYMENTS_CSV, CaseRoles, SupplierRoles
 from vouchlens.session import scratch_path
 from vouchlens.sources import readers, sinks
 from vouchlens.sources.digests import content, content_sql
-from vouchlens.sources.role_views import history, payments, policy_documents
+from vouchlens.sources.role_views import cases, history, payments, policy_documents, suppliers
 from vouchlens.suite import cases as case_suite
 from vouchlens.suite import history as history_suite
 from vouchlens.suite import nested as nested_suite
@@ -70,6 +72,69 @@ def _io5(s, d):
     ).select("t.supplier_id", "t.supplier_type", "t.status", "t.due_date", "has_policy")
 
 
+MALFORMED = "malformed_line"
+
+
+def _suppliers_csv(s, d):
+    """The suppliers as a CSV file of text; by rule some credit limits are no numbers."""
+    path, r = scratch_path(s, "suppliers.csv"), SupplierRoles()
+    own = supplier_suite.R
+    key = F.col(own.id)
+    names = {getattr(own, role): getattr(r, role) for role in "id name size country category credit performance certificates".split()}
+    rows = suppliers(s, d).withColumn(own.credit, F.when(key % 7 == 3, "sin límite").otherwise(F.col(own.credit).cast("string")))
+    more = {c: F.lit("-") for c in ("contactos_emergencia", "condiciones_negociadas")} | {"descuentos_especiales": F.lit("5")}
+    sinks.write(rows.withColumnsRenamed(names).select(*names.values(), *[v.alias(c) for c, v in more.items()]), path, "csv")
+    return readers.read_suppliers(s, path, MALFORMED)
+
+
+def _io3(s, d):
+    r = SupplierRoles()
+    return parse_suppliers(_suppliers_csv(s, d), r).select(
+        F.col(r.id).alias("supplier"),
+        F.col(r.credit).alias("credit"),
+        "on_time_delivery",
+        F.array_join("certificaciones_list", ",").alias("certificates"),
+        "num_certificaciones",
+        F.col(MALFORMED).isNotNull().alias("malformed"),
+    )
+
+
+def _cases_csv(s, d):
+    """The cases as a CSV file of text; by rule some dates and amounts can't be read."""
+    path, r, own = scratch_path(s, "cases.csv"), CaseRoles(), case_suite.R
+    key = F.col("case_id")
+    names = {getattr(own, role): getattr(r, role) for role in "type complexity date amount state assignee".split()}
+    rows = cases(s, d).withColumns(
+        {
+            own.date: F.when(key % 13 == 0, "ayer").otherwise(F.date_format(own.date, "yyyy-MM-dd")),
+            own.amount: F.when(key % 11 == 0, "mucho").otherwise(F.col(own.amount).cast("string")),
+            own.state: F.concat(F.lit(" "), F.col(own.state)),
+        }
+    )
+    texts = {"descripcion": F.concat(F.lit('a, "'), key.cast("string"), F.lit('"')), "comentarios": F.lit("-")}
+    sinks.write(rows.withColumnsRenamed(names).select(*names.values(), *[v.alias(c) for c, v in texts.items()]), path, "csv")
+    return readers.read_cases(s, path, MALFORMED)
+
+
+def _io4(s, d):
+    r = CaseRoles()
+    ready = prepare(_cases_csv(s, d), r, case_suite.DAY)
+    return ready.select(
+        *[F.col(getattr(r, role)).alias(role) for role in "type complexity amount state assignee".split()],
+        F.col(r.date).cast("string").alias("date"),
+        "dias_antiguedad",
+        "descripcion",
+        F.col(MALFORMED).isNotNull().alias("malformed"),
+    )
+
+
+def _malformed(s, d):
+    """Rows and malformed rows of both files."""
+    files = {"suppliers": _suppliers_csv(s, d), "cases": _cases_csv(s, d)}
+    counted = [readers.malformed_counts(df, MALFORMED).select(F.lit(n).alias("file"), "*") for n, df in files.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 #: Columns by which each written table is compared (``:n`` for numbers), and the query that has its rows in SQL.
 CONTENTS = {
     "anomalies_full": "id:n part:n supplier:n amount:n total_anomalies:n has_any_anomaly",
@@ -151,6 +216,9 @@ def _io11(s, d):
 QUERIES = {
     "IO1_payments_csv": _io1,
     "IO2_history_csv": _io2,
+    "IO3_suppliers_csv": _io3,
+    "IO4_cases_csv": _io4,
+    "IO4_malformed_rows": _malformed,
     "IO5_nested_json": _io5,
     "IO6_export_anomalies": _io6,
     "IO6_anomalies_only": _io6_anomalies,
@@ -187,6 +255,16 @@ SQL = {
         category AS categoria_gasto, method AS metodo_pago, CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR) AS monto,
         CAST(CAST(time AS INTEGER) AS VARCHAR) AS tiempo_procesamiento, CAST(CAST(score AS DECIMAL(3,1)) AS VARCHAR) AS score_cumplimiento,
         indicator AS indicadores_economicos, season AS estacionalidad FROM history""",
+    "IO3_suppliers_csv": _S
+    + """SELECT supplier, CASE WHEN supplier % 7 <> 3 THEN credit END AS credit, on_time_delivery, array_to_string(certs, ',') AS certificates,
+        num_certificaciones, supplier % 7 = 3 AS malformed FROM parsed""",
+    "IO4_cases_csv": case_suite.CHAIN
+    + """SELECT type, complexity, CASE WHEN case_id % 11 <> 0 THEN amount END AS amount, state, assignee,
+        CASE WHEN case_id % 13 <> 0 THEN CAST(CAST(date AS DATE) AS VARCHAR) END AS date,
+        CASE WHEN case_id % 13 <> 0 THEN dias_antiguedad END AS dias_antiguedad,
+        'a, "' || case_id || '"' AS descripcion, case_id % 13 = 0 OR case_id % 11 = 0 AS malformed FROM cases""",
+    "IO4_malformed_rows": """SELECT 'suppliers' AS file, count(*) AS rows, count(*) FILTER (s_suppkey % 7 = 3) AS malformed FROM supplier
+      UNION ALL SELECT 'cases', count(*), count(*) FILTER (o_orderkey % 13 = 0 OR o_orderkey % 11 = 0) FROM orders""",
     "IO5_nested_json": _J
     + """SELECT supplier_id, supplier_type, status, CASE WHEN k % 53 = 0 THEN 'pronto' ELSE CAST(due_date AS VARCHAR) END AS due_date,
         k % 59 <> 0 AS has_policy FROM d""",

@@ -1,6 +1,8 @@
 """URL rules, nearest neighbours, the pipeline, and the registered queries."""
 
+import itertools
 import math
+import random
 import re
 
 import numpy as np
@@ -61,13 +63,61 @@ def test_url_rules_from_path_words_and_long_ones(spark):
 
 def test_rules_match_by_index():
     rules = [(frozenset("ab"), "block", 0.9, 0.1), (frozenset("a"), "allow", 0.8, 0.2), (frozenset("c"), "block", 0.8, 0.1)]
-    index = url_rules.Index(rules, "none")
+    index = url_rules.Index(rules, {}, "none")
     for have in ("", "a", "ab", "abc", "c", "bc"):
         fits = [i for i, r in enumerate(rules) if r[0] <= set(have)]
         lists = {i for t in set(have) for i in index.lists.get(t, ()) if rules[i][0] <= set(have)}
         assert lists == set(fits)
 
 
+def plain_rules(labelled, settings):
+    """All frequent sets of tokens, one by one, and the rules that no simpler one makes needless."""
+    sets = [(frozenset(url_rules.tokens(u)), y) for u, y in labelled]
+    least = max(settings.min_rows, math.ceil(settings.min_support * len(sets)))
+    often = sorted({t for s, _ in sets for t in s if sum(t in o for o, _ in sets) >= least})
+    kept = []
+    for k in range(1, len(often) + 1):
+        for own in map(frozenset, itertools.combinations(often, k)):
+            inside = [y for s, y in sets if own <= s]
+            for label in sorted(set(inside)):
+                n = inside.count(label)
+                sure = n / len(inside)
+                simpler = any(o < own and y == label and c >= sure for o, y, c, _ in kept)
+                if n >= least and sure >= settings.min_confidence and not simpler:
+                    kept.append((own, label, sure, n / len(sets)))
+    return kept
+
+
+def test_rules_equal_plain_mining(spark):
+    pick = random.Random(4)
+    parts = ["a", "b", "c"]
+    labelled = []
+    for _ in range(60):
+        own = [p for p in parts if pick.random() < 0.5]
+        labelled.append(("x://h/" + "/".join(own), "block" if {"a", "b"} <= set(own) or pick.random() < 0.1 else "allow"))
+    settings = url_rules.Settings(min_support=0.05, default="none")
+    plain = plain_rules(labelled, settings)
+    asked = ["x://h/" + "/".join(o) for k in range(4) for o in itertools.combinations(parts, k)] + ["y://h/a/b", "z://q/c", None]
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    got = url_rules.judge(pages, spark.createDataFrame(labelled, "url string, label string"), settings, rules=())
+    for r in got.collect():
+        have = set(url_rules.tokens(r.url))
+        fits = [(-c, -n) for own, _, c, n in plain if own <= have]
+        best = {y for own, y, c, n in plain if own <= have and (-c, -n) == min(fits)} or {"none"}
+        assert r.verdict in best
+
+
+def test_long_urls_end(spark):
+    """Two hundred tokens that stand in the same rows are one; alone they are below the least number of rows."""
+    long = "http://long.org/" + "/".join(f"word{i}" for i in range(200))
+    lone = "http://lone.org/" + "/".join(f"part{i}" for i in range(200))
+    labelled = [(long, "block")] * 20 + [(lone, "block")] + [(f"http://ok.org/{i % 3}", "allow") for i in range(40)]
+    pages = spark.createDataFrame([(1, long), (2, "http://new.org/word7"), (3, "http://new.org/part7")], "page_id long, url string")
+    settings = url_rules.Settings(default="none")
+    got = url_rules.judge(pages, spark.createDataFrame(labelled, "url string, label string"), settings, rules=())
+    assert [r.verdict for r in got.orderBy("page_id").collect()] == ["block", "block", "none"]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))

@@ -2,7 +2,9 @@
 
 FP-growth mines combinations of URL tokens together with a label; rules that conclude
 a label are pruned by support, confidence and by simpler rules that say the same. A
-URL is matched by an inverted index from each rule's rarest token to the rule.
+URL is matched by an inverted index from each rule's rarest token to the rule. Tokens
+that stand in the same rows are mined as one, which leaves every verdict as it is: sets
+of two such tokens say no more than either of them.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -34,11 +37,15 @@ PATH_WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """A frequent set holds in ``min_support`` of the labelled rows, so their number is bounded by
-    the token sets of one URL over ``min_support``, whatever the number of rows. Rules have any
-    number of tokens unless ``max_tokens`` is set."""
+    """A frequent set holds in ``min_support`` of the labelled rows, and in ``min_rows`` of them at least.
+
+    Tokens in exactly the same labelled rows are one class, so what only one URL or one
+    site has counts once, however many tokens it is. Rules have any number of classes
+    unless ``max_tokens`` is set.
+    """
 
     min_support: float = 0.002
+    min_rows: int = 2
     min_confidence: float = 0.8
     max_tokens: int | None = None
     default: str = "allow"
@@ -88,18 +95,47 @@ def tokens(url: str | None) -> list[str]:
     return sorted(out | ({"fragment"} if m[4] else set()))
 
 
-def mined_rules(labelled: DataFrame, settings: Settings) -> list[tuple[frozenset[str], str, float, float]]:
-    """(tokens, label, confidence, support), best first, from rows (url, label).
+def token_classes(split: DataFrame, least: int) -> dict[str, str]:
+    """The class (its smallest token) of every token that is in ``least`` rows or more.
+
+    Two tokens are in the same rows if their counts and two sums of row hashes agree. There
+    are at most so many tokens as the rows have in all, over ``least``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [tokens(u) for u in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["url", "tokens"])
+
+    each = split.select("url").mapInArrow(run, "url string, tokens array<string>")
+    places = each.select(F.explode("tokens").alias("token"), F.xxhash64("url").alias("a"), F.xxhash64(F.lit(1), "url").alias("b"))
+    sums = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("a", "b")]
+    frequent = places.groupBy("token").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least).collect()
+    first: dict[tuple, str] = {}
+    for r in sorted(frequent):
+        first.setdefault((r.n, r.a, r.b), r.token)
+    return {r.token: first[r.n, r.a, r.b] for r in frequent}
+
+
+def mined_rules(
+    labelled: DataFrame, settings: Settings
+) -> tuple[list[tuple[frozenset[str], str, float, float]], dict[str, str]]:
+    """(classes, label, confidence, support), best first, from rows (url, label); and the class of each token.
 
     Rules come to the driver in order of their length, and one is dropped there if a kept rule with some
-    of its tokens says the same at least as surely. Their number has the bound that ``Settings`` states.
+    of its classes says the same at least as surely.
     """
-    split = labelled.where(F.col("label").isNotNull()).select("url", "label")
+    split = labelled.where(F.col("label").isNotNull()).select(F.coalesce("url", F.lit("")).alias("url"), "label")
+    rows = split.count()
+    least = max(settings.min_rows, ceil(settings.min_support * rows))
+    if rows < least:
+        return [], {}
+    classes = token_classes(split, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = [
-                [*tokens(u), f"label:{y}"]
+                [*sorted(classes_of(u, classes)), f"label:{y}"]
                 for u, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string()))], names=["items"])
@@ -107,7 +143,7 @@ def mined_rules(labelled: DataFrame, settings: Settings) -> list[tuple[frozenset
     sets = split.mapInArrow(run, "items array<string>")
     growth = FPGrowth(
         itemsCol="items",
-        minSupport=settings.min_support,
+        minSupport=(least - 0.5) / rows,
         minConfidence=settings.min_confidence,
         numPartitions=shuffle_partitions(labelled.sparkSession),
     )
@@ -127,21 +163,25 @@ def mined_rules(labelled: DataFrame, settings: Settings) -> list[tuple[frozenset
         if not any(k[1] == r.label and k[2] >= r.confidence and k[0] < own for k in fits):
             simpler[min(own, default="")].append(len(kept))
             kept.append((own, r.label, r.confidence, r.support))
-    return sorted(kept, key=lambda k: (-k[2], -k[3], sorted(k[0]), k[1]))
+    return sorted(kept, key=lambda k: (-k[2], -k[3], sorted(k[0]), k[1])), classes
+
+
+def classes_of(url: str | None, classes: dict[str, str]) -> set[str]:
+    return {classes[t] for t in tokens(url) if t in classes}
 
 
 class Index:
-    """Rules by their rarest token (the one in the fewest rules)."""
+    """Rules by their rarest class of tokens (the one in the fewest rules)."""
 
-    def __init__(self, rules, default: str):
-        self.rules, self.default = rules, default
+    def __init__(self, rules, classes: dict[str, str], default: str):
+        self.rules, self.classes, self.default = rules, classes, default
         often = Counter(t for r in rules for t in r[0])
         self.lists: dict[str, list[int]] = defaultdict(list)
         for i, r in enumerate(rules):
             self.lists[min(r[0], key=lambda t: (often[t], t))].append(i)
 
     def verdict(self, url: str | None) -> str:
-        have = set(tokens(url))
+        have = classes_of(url, self.classes)
         fits = [i for t in have for i in self.lists.get(t, ()) if self.rules[i][0] <= have]
         return self.rules[min(fits)][1] if fits else self.default
 
@@ -155,7 +195,7 @@ def judge(pages: DataFrame, labelled: DataFrame, settings: Settings | None = Non
     nothing is mined; an empty table gives an empty result; other columns are dropped.
     """
     settings = settings or Settings()
-    index = Index(mined_rules(labelled, settings), settings.default)
+    index = Index(*mined_rules(labelled, settings), settings.default)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

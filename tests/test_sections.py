@@ -260,3 +260,22 @@ def test_stream_equals_batch(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_integrity_report_equals_its_parts(spark):
+    """Repeated, missing and non-numeric ids, references to them and to nothing."""
+    rows = [("1", "2,9"), ("2", None), ("2", "1,1"), ("x", "x"), ("x", "7"), (None, "9"), (None, ""), ("07", "7,07"), ("3", "3")]
+    data = [(i, r, len((r or "").split(",")) if r else 0, -1.0 if k % 2 else None, date(2020, 1, 1 + k), date(2020, 1, 5), "T" if k else "U") for k, (i, r) in enumerate(rows)]
+    tx = spark.createDataFrame(
+        data,
+        "transaction_id string, related_transactions string, num_related_transactions int, amount double, invoice_date date, due_date date, supplier_type string",
+    )
+    pol = spark.createDataFrame([("T",)], "supplier_type string")
+    got = {(r.check, r.item): r.cases for r in nested.integrity_report(tx, pol).collect()}
+    assert got["duplicados", "transaction_id"] == nested.duplicated_ids(tx).first()[0] == 6
+    assert got["referencias_rotas", "total"] == nested.broken_targets(tx).agg(F.sum("veces")).first()[0]
+    ranges = nested.invalid_ranges(tx).first()
+    assert got["rangos_invalidos", "montos_negativos"] == ranges.montos_negativos
+    assert got["rangos_invalidos", "due_date_antes_invoice"] == ranges.due_date_antes_invoice
+    assert {i: n for (c, i), n in got.items() if c == "valores_nulos"} == {r.columna: r.nulos for r in nested.null_counts(tx).collect()}
+    assert got["tipos_proveedor_invalidos", "U"] == 1

@@ -344,11 +344,13 @@ def unknown_supplier_types(tx: DataFrame, pol: DataFrame) -> DataFrame:
     return used.join(pol, "supplier_type", "left_anti")
 
 
+def _targets() -> Column:
+    """The listed ids as numbers; one that is no number is null, which no transaction has."""
+    return F.transform(F.split("related_transactions", ","), lambda t: t.try_cast("bigint"))
+
+
 def _references(tx: DataFrame) -> DataFrame:
-    listed = F.split("related_transactions", ",")
-    return tx.where("num_related_transactions > 0").select(
-        "transaction_id", F.explode(listed.cast("array<bigint>")).alias("referencia_rota")
-    )
+    return tx.where("num_related_transactions > 0").select("transaction_id", F.explode(_targets()).alias("referencia_rota"))
 
 
 def broken_targets(tx: DataFrame) -> DataFrame:
@@ -373,32 +375,60 @@ def first_broken_references(tx: DataFrame, shown: int = SHOWN_REFERENCES) -> Dat
     return broken_references(tx).orderBy("transaction_id", "referencia_rota").limit(shown)
 
 
+def _key_figures(tx: DataFrame) -> DataFrame:
+    """Rows of repeated ids and references to missing targets, from one pass over the transactions.
+
+    Ids and targets meet under the target's number; an id that many rows have, or point
+    to, is one row by then.
+    """
+    own = F.struct(
+        F.col("transaction_id").try_cast("bigint").alias("key"), F.col("transaction_id").alias("id"), F.lit(1).alias("rows"), F.lit(0).alias("refs")
+    )
+    listed = F.when(F.col("num_related_transactions") > 0, _targets())
+    pointed = F.transform(
+        F.coalesce(listed, F.array().cast("array<bigint>")),
+        lambda t: F.struct(t.alias("key"), F.lit(None).cast("string").alias("id"), F.lit(0).alias("rows"), F.lit(1).alias("refs")),
+    )
+    each = tx.select(F.explode(F.concat(F.array(own), pointed)).alias("x")).select("x.*")
+    ids = each.groupBy("key", "id").agg(F.sum("rows").alias("rows"), F.sum("refs").alias("refs"))
+    repeated = F.sum(F.when(F.col("id").isNotNull() & (F.col("rows") > 1), F.col("rows")))
+    nameless = F.sum(F.when(F.col("id").isNull() & (F.col("rows") > 1), F.col("rows")))  # a missing id is one group
+    keys = ids.groupBy("key").agg(
+        repeated.alias("repeated"), nameless.alias("nameless"), F.sum("rows").alias("rows"), F.sum("refs").alias("refs")
+    )
+    missing = F.when(F.col("key").isNull() | (F.col("rows") == 0), F.col("refs"))
+    return keys.agg(
+        (F.coalesce(F.sum("repeated"), F.lit(0)) + F.coalesce(F.sum("nameless"), F.lit(0))).alias("duplicados"),
+        F.coalesce(F.sum(missing), F.lit(0)).alias("rotas"),
+    )
+
+
 def integrity_report(tx: DataFrame, pol: DataFrame) -> DataFrame:
-    """(check, item, cases) of all integrity checks."""
+    """(check, item, cases) of all integrity checks: one pass for nulls and ranges, one for ids and references."""
 
-    def rows(df: DataFrame, check: str, item: Column, cases: Column) -> DataFrame:
-        return df.select(
-            F.lit(check).alias("check"), item.alias("item"), cases.cast("bigint").alias("cases")
-        )
+    def row(check: str, item: Column, cases: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), item.alias("item"), cases.cast("bigint").alias("cases"))
 
-    ranges = invalid_ranges(tx).unpivot(
-        [], ["montos_negativos", "due_date_antes_invoice"], "rango", "n"
+    def exploded(df: DataFrame, rows: list[Column]) -> DataFrame:
+        return df.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+    nulls = {c: F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in tx.columns}
+    figures = tx.agg(
+        *nulls.values(),
+        F.count_if(F.col("amount") < 0).alias("montos_negativos"),
+        F.count_if(F.col("due_date") < F.col("invoice_date")).alias("due_date_antes_invoice"),
     )
-    broken = broken_targets(tx).agg(F.coalesce(F.sum("veces"), F.lit(0)).alias("n"))
-    return (
-        rows(duplicated_ids(tx), "duplicados", F.lit("transaction_id"), F.col("duplicados"))
-        .unionByName(rows(null_counts(tx), "valores_nulos", F.col("columna"), F.col("nulos")))
-        .unionByName(rows(ranges, "rangos_invalidos", F.col("rango"), F.col("n")))
-        .unionByName(
-            rows(
-                unknown_supplier_types(tx, pol),
-                "tipos_proveedor_invalidos",
-                F.col("supplier_type"),
-                F.lit(1),
-            )
-        )
-        .unionByName(rows(broken, "referencias_rotas", F.lit("total"), F.col("n")))
+    both = exploded(
+        figures,
+        [row("valores_nulos", F.lit(c), F.col(f"nulls_{c}")) for c in nulls]
+        + [row("rangos_invalidos", F.lit(c), F.col(c)) for c in ("montos_negativos", "due_date_antes_invoice")],
+    ).where("check <> 'valores_nulos' or cases > 0")
+    keys = exploded(
+        _key_figures(tx),
+        [row("duplicados", F.lit("transaction_id"), F.col("duplicados")), row("referencias_rotas", F.lit("total"), F.col("rotas"))],
     )
+    types = unknown_supplier_types(tx, pol).select(row("tipos_proveedor_invalidos", F.col("supplier_type"), F.lit(1)).alias("x")).select("x.*")
+    return both.unionByName(keys).unionByName(types)
 
 
 # --- policy checks ----------------------------------------------------------

@@ -155,8 +155,9 @@ class Chunks:
     ``value`` gets the pre-tokens of each new chunk, all of a batch together.
     """
 
-    def __init__(self, table: Merges, value):
-        self.table, self.value, self.known, self.size = table, value, {}, 0
+    def __init__(self, table: Merges, value, remembered: int = REMEMBERED):
+        self.table, self.value, self.remembered = table, value, remembered
+        self.known, self.size = {}, 0
 
     def pieces(self, text: str) -> list[str]:
         """Chunks and special strings of a text, in order."""
@@ -178,7 +179,7 @@ class Chunks:
         """The chunks of each text; afterwards ``known`` has them all."""
         split = [self.pieces(t) for t in batch]
         new = set().union(*split)
-        if self.size > REMEMBERED:
+        if self.size > self.remembered:
             self.known, self.size = {}, 0
         new = [c for c in new if c not in self.known and c not in self.table.special]
         values = self.value([self.pretokens(c) for c in new])
@@ -224,19 +225,22 @@ def values(table: Merges):
     return of
 
 
-def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", remembered: int = REMEMBERED
+) -> DataFrame:
     """Token ids of every whole text and the text that they decode to.
 
     Returns doc_id, ids (binary: little-endian unsigned 32-bit numbers) and decoded
     (string: the tokens' names joined by blanks, as a file without a decoder asks for).
     Null and empty texts have no ids and decode to the empty text; special strings in
     a text are their special tokens; repeated rows are encoded each; null ids stay
-    null; an empty table gives an empty result; other columns are not looked at.
+    null; an empty table gives an empty result; other columns are not looked at. A task
+    remembers about ``remembered`` bytes of what it has encoded, which changes its time only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = merges(path)
-        chunks = Chunks(table, values(table))
+        chunks = Chunks(table, values(table), remembered)
         for batch in batches:
             for part in slices(batch):
                 ids, decoded = encode_texts(table, part.column(1).to_pylist(), chunks)

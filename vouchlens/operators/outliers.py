@@ -52,9 +52,11 @@ def with_group_z(df: DataFrame, key: str, amount: str, out: str) -> DataFrame:
 
 
 def with_z_scores(df: DataFrame, r: PaymentRoles) -> DataFrame:
-    df = with_group_z(df, r.supplier, r.amount, SUPPLIER)
-    df = with_group_z(df, r.approver, r.amount, APPROVER)
-    return with_global_z(df, r.amount)
+    """All three are of the original rows, not of the joined ones."""
+    out = with_group_z(df, r.supplier, r.amount, SUPPLIER)
+    marked = lookup(out, group_spread(df, r.approver, r.amount), r.approver, df)
+    out = marked.withColumn(APPROVER, group_z(r.amount)).drop("_mean", "_std")
+    return out.withColumn(GLOBAL, global_z(df, r.amount))
 
 
 def amount_flags(z_threshold: float = Z_THRESHOLD) -> Flags:

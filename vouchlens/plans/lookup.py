@@ -28,12 +28,17 @@ def measured(stats: DataFrame, limit: int | None = None) -> Measured:
     return Measured(known, known.limit(limit + 1).count() <= limit)
 
 
-def lookup(rows: DataFrame, table: DataFrame | Measured, key: str) -> DataFrame:
-    """Left join of a table with one row per key: broadcast when small, else split."""
+def lookup(
+    rows: DataFrame, table: DataFrame | Measured, key: str, stored: DataFrame | None = None
+) -> DataFrame:
+    """Left join of a table with one row per key: broadcast when small, else split.
+
+    ``stored`` are the same rows before other lookups, where they are cheaper to count.
+    """
     known = table if isinstance(table, Measured) else measured(table)
     if known.small:
         return rows.join(F.broadcast(known.df), key, "left")
-    return lookup_split(rows, known.df, key)
+    return lookup_split(rows, known.df, key, hot_keys(rows if stored is None else stored, key))
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:

@@ -18,9 +18,10 @@ S = consolidate.Settings(as_of=date.fromisoformat(AS_OF), patterns=tuple(PATTERN
 KEY = ["id", "part"]
 
 
-def _table(spark, folder):
-    """The joined payments as a table, as a detection run reads them several times."""
-    return written_once(payments(spark, folder))
+def _table(spark, folder, *columns):
+    """The joined payments (or some columns) as a table, as a detection run reads them several times."""
+    rows = payments(spark, folder)
+    return written_once(rows.select(*KEY, *columns) if columns else rows)
 
 
 def _found(spark, folder):
@@ -40,9 +41,9 @@ def _flag(make, name):
     return lambda spark, folder: payments(spark, folder).select(*KEY, make()[name].alias(name))
 
 
-def _detector(detect, name):
+def _detector(detect, name, rows=payments):
     cols = [f"{name}_has_anomaly", f"{name}_type", f"{name}_description"]
-    return lambda spark, folder: detect(payments(spark, folder)).select(*KEY, *cols)
+    return lambda spark, folder: detect(rows(spark, folder)).select(*KEY, *cols)
 
 
 QUERIES = {
@@ -82,13 +83,13 @@ QUERIES = {
     "P22_cross_consistency": _detector(
         lambda p: row_rules.detect_cross(p, R, S.as_of), "cross_consistency"
     ),
-    "D1_duplicate_rows": lambda s, d: duplicates.detect_duplicates(payments(s, d), R).select(
+    "D1_duplicate_rows": lambda s, d: duplicates.detect_duplicates(_table(s, d), R).select(
         *KEY, "duplicate_has_anomaly"
     ),
     "D2_duplicate_differences": lambda s, d: duplicates.duplicate_groups(payments(s, d), R).select(
         "id", "differences"
     ),
-    "D3_duplicate_text": _detector(lambda p: duplicates.detect_duplicates(p, R), "duplicate"),
+    "D3_duplicate_text": _detector(lambda p: duplicates.detect_duplicates(p, R), "duplicate", _table),
     "D4_duplicate_report": lambda s, d: duplicates.duplicate_report(_table(s, d), R),
     "D4_duplicate_values": lambda s, d: duplicates.duplicate_values(_table(s, d), R),
     "D5_duplicate_summary": lambda s, d: duplicates.duplicate_summary(
@@ -114,13 +115,15 @@ QUERIES = {
     "D12_global_z_score": lambda s, d: outliers.with_global_z(payments(s, d), "amount").select(
         *KEY, F.round("z_score_global", 6).alias("z_score_global")
     ),
-    "D13_group_z_scores": lambda s, d: outliers.with_z_scores(_table(s, d), R).select(
+    "D13_group_z_scores": lambda s, d: outliers.with_z_scores(_table(s, d, "supplier", "approver", "amount"), R).select(
         *KEY,
         F.round("z_score_by_provider", 6).alias("z_score_by_provider"),
         F.round("z_score_by_approver", 6).alias("z_score_by_approver"),
     ),
     "D14_atypical_amounts": _detector(
-        lambda p: outliers.detect_amounts(outliers.with_z_scores(p, R), R), "amount"
+        lambda p: outliers.detect_amounts(outliers.with_z_scores(p, R), R),
+        "amount",
+        lambda s, d: _table(s, d, "supplier", "approver", "amount"),
     ),
     "C1_consolidated": lambda s, d: _found(s, d).select(
         *KEY,

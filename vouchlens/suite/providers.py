@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vouchlens.operators import provider_risk as op
 from vouchlens.plans.ordered import with_row_number
 from vouchlens.roles import HistoryRoles
+from vouchlens.session import written_once
 from vouchlens.sources.role_views import history
 from vouchlens.suite.sql import HISTORY, exact_mean, exact_sum, unit_mean
 
@@ -56,8 +57,10 @@ def _tidy(df):
 
 
 def _one(s, d):
-    worst = op.top_risky(_scores(s, d), "supplier", 1).first()["supplier"]
-    return op.provider_detail(_alerted(s, d), "supplier", worst)
+    """The riskiest provider, with the scores computed once for the choice and the detail."""
+    scores = written_once(_scores(s, d))
+    worst = op.top_risky(scores, "supplier", 1).first()["supplier"]
+    return op.provider_detail(op.with_alerts(scores), "supplier", worst)
 
 
 QUERIES = {

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vouchlens.functions.columns import digits_in, fixed, flag, money_mean, money_sum, present, text
 from vouchlens.plans.counts import value_counts
 from vouchlens.plans.lookup import Measured, lookup, lookup_split, measured
-from vouchlens.session import cut_lineage
+from vouchlens.session import cut_lineage, written_once
 
 # Required keys, types, severities and bounds.
 REQUIRED_KEYS = ["payment_policies", "transactions"]
@@ -91,10 +91,19 @@ def raw_policies(docs: DataFrame, key: str = "doc_id", doc: str = "doc") -> Data
     return docs.select(key, F.explode(by_type).alias("supplier_type", "config"))
 
 
+def exploded(df: DataFrame, keep: list[str], listed: Column, name: str) -> DataFrame:
+    """One row per entry of a list that is costly to make.
+
+    Spark filters empty lists ahead of a plain explode, which would make every list twice.
+    """
+    each = df.select(*keep, F.posexplode_outer(listed).alias("_pos", name))
+    return each.where(F.col("_pos").isNotNull()).drop("_pos")
+
+
 def raw_transactions(docs: DataFrame, key: str = "doc_id", doc: str = "doc") -> DataFrame:
     """(document, transaction text)."""
     listed = F.from_json(doc, RAW_SCHEMA).getField("transactions")
-    return docs.select(key, F.explode(listed).alias("transaction"))
+    return exploded(docs, [key], listed, "transaction")
 
 
 def missing_policy_fields(policies: DataFrame) -> DataFrame:
@@ -117,9 +126,8 @@ def missing_transaction_fields(transactions: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _type_messages(body: Column) -> Column:
-    """A message if the id is no integer, and one if the amount is no number."""
-    parsed = F.try_parse_json(body)
+def _type_messages(parsed: Column) -> Column:
+    """A message if the id is no integer, and one if the amount is no number, of a parsed transaction."""
 
     def kind(path: str) -> Column:
         return F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
@@ -141,12 +149,14 @@ def _type_messages(body: Column) -> Column:
 
 def type_errors(transactions: DataFrame, key: str = "doc_id") -> DataFrame:
     """One message per id that is no integer and per amount that is no number."""
-    messages = _type_messages(F.col("transaction"))
-    return transactions.select(key, F.posexplode(messages).alias("pos", "message"))
+    parsed = transactions.select(key, F.try_parse_json("transaction").alias("_parsed"))  # once, for all that is asked of it
+    each = parsed.select(key, F.posexplode_outer(_type_messages(F.col("_parsed"))).alias("pos", "message"))
+    return each.where("pos is not null")
 
 
 def type_warnings(errors: DataFrame, key: str = "doc_id", shown: int = SHOWN_MESSAGES) -> DataFrame:
     """The first messages and, if there are more, how many."""
+    errors = written_once(errors.select(key, "pos", "message"))  # the documents are read once for both
     first = errors.orderBy(key, "pos").limit(shown).select("message")
     rest = errors.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shown)
     return first.unionByName(
@@ -191,7 +201,8 @@ def structure_facts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             F.transform("missing_keys", lambda k: part("error", k, none)),
         )
     )
-    each = checked.select(key, F.explode(parts).alias("p")).select("p.kind", "p.name", "p.body")
+    each = exploded(checked, [key], parts, "p").select("p.kind", "p.name", "p.body")
+    each = each.withColumn("_parsed", F.when(F.col("kind") == "tx", F.try_parse_json("body")))
 
     def fact(section: str, item: Column) -> Column:
         return F.struct(F.lit(section).alias("section"), item.alias("item"))
@@ -204,7 +215,7 @@ def structure_facts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     lost_field = F.transform(
         _missing(TRANSACTION_FIELDS, body), lambda c: fact("campos_faltantes", c)
     )
-    wrong_type = F.transform(_type_messages(body), lambda m: fact("tipos_invalidos", none))
+    wrong_type = F.transform(_type_messages(F.col("_parsed")), lambda m: fact("tipos_invalidos", none))
     no_metadata = present([F.when(~_has_metadata(body), fact("sin_metadata", none))])
     facts = (
         F.when(F.col("kind") == "invalid", F.array(fact("documentos_invalidos", none)))
@@ -220,7 +231,7 @@ def structure_facts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         )
     )
     return (
-        each.select(F.explode(facts).alias("f"))
+        exploded(each, [], facts, "f")
         .groupBy("f.section", "f.item")
         .agg(F.count(F.lit(1)).alias("cases"))
     )
@@ -294,7 +305,7 @@ def policies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def transactions(docs: DataFrame) -> DataFrame:
     """Flat transactions with lifted metadata; ids stay texts as they come, other unreadable values become null."""
     typed = F.from_json("doc", f"struct<transactions: array<{TRANSACTION_SCHEMA}>>")
-    t = docs.select(F.explode(typed.getField("transactions")).alias("t"))
+    t = exploded(docs, [], typed.getField("transactions"), "t")
     related = F.coalesce("t.metadata.related_transactions", F.array().cast("array<bigint>"))
     flat = t.select(
         "t.transaction_id",

@@ -60,18 +60,22 @@ def selected(
     else:
         (key,) = groups
         known = lookup(rows, rows.groupBy(key).agg(*figures), key)
-    slots, at, every = [], {}, list(probs.values())
+    # rows on the same side of all bounds are one cell, so only cells are taken apart
+    sides, slots, at, every = {}, [], {}, list(probs.values())
     for i, c in enumerate(columns):
         for k, p in enumerate(every):
-            low, high = _slot_bounds(i, every, k)
-            slot, v = F.lit(len(slots)).alias("slot"), F.col(c)
-            total = F.col(f"_{i}n").alias("total")
+            (low, high), j, v = _slot_bounds(i, every, k), len(slots), F.col(c)
+            sides |= {f"_b{j}": v < low, f"_i{j}": F.when((v >= low) & (v <= high), v)}
+            slot, total = F.lit(j).alias("slot"), F.col(f"_{i}n").alias("total")
             below = F.struct(slot, F.lit(None).cast("double").alias("v"), total)
-            inside = F.struct(slot, v.alias("v"), total)
-            slots.append(F.when(v < low, below).when(v <= high, inside))
-            at[len(slots) - 1] = (i, k, p)
-    found = known.select(*groups, F.explode(F.filter(F.array(*slots), lambda s: s.isNotNull())).alias("_x"))
-    cells = found.groupBy(*groups, "_x.slot", "_x.total", "_x.v").agg(F.count(F.lit(1)).alias("n"))
+            inside = F.struct(slot, F.col(f"_i{j}").alias("v"), total)
+            slots.append(F.when(F.col(f"_b{j}"), below).when(F.col(f"_i{j}").isNotNull(), inside))
+            at[j] = (i, k, p)
+    totals = [f"_{i}n" for i in range(len(columns))]
+    placed = known.select(*groups, *totals, *[x.alias(n) for n, x in sides.items()])
+    counted = placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    found = counted.select(*groups, "_rows", F.explode(F.filter(F.array(*slots), lambda s: s.isNotNull())).alias("_x"))
+    cells = found.groupBy(*groups, "_x.slot", "_x.total", "_x.v").agg(F.sum("_rows").alias("n"))
     # what was counted below is the entry without a value, which sorts first
     lists = cells.groupBy(*groups, "slot", "total").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("cells"))
     shares = F.array(*[F.lit(float(p)) for _, _, p in at.values()])

@@ -94,7 +94,7 @@ def raw_policies(docs: DataFrame, key: str = "doc_id", doc: str = "doc") -> Data
 def exploded(df: DataFrame, keep: list[str], listed: Column, name: str) -> DataFrame:
     """One row per entry of a list that is costly to make.
 
-    Spark filters empty lists ahead of a plain explode, which would make every list twice.
+    Spark may filter empty lists ahead of a plain explode, and would then make every list twice.
     """
     each = df.select(*keep, F.posexplode_outer(listed).alias("_pos", name))
     return each.where(F.col("_pos").isNotNull()).drop("_pos")

@@ -159,3 +159,53 @@ def test_search_shares_fits_and_goes_on(spark, rows, name, grid, monkeypatch):
     fits.clear()
     again = training.search(rows, name, points, s, results=folder)
     assert {r.point: r.mean_f1 for r in again.collect()} == got and not fits
+
+
+def test_a_logistic_search_computes_its_rows_once(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    points = training.grid_points({"C": [0.1, 1], "penalty": ["l1", "l2"]})
+    computed = rows.coalesce(2).mapInArrow(count, rows.schema)
+    results, best, model = training.search_and_refit(computed, training.LOGISTIC, training.TrainingSettings(FEATURES, "y"), points)
+    assert seen.value == 400 and results.count() == 4
+    alone = training.train(rows, training.LOGISTIC, best, training.TrainingSettings(FEATURES, "y"))
+    assert model.coefficients == pytest.approx(alone.coefficients, abs=1e-10)
+
+
+def test_packed_rows_are_the_rows(spark, rows, monkeypatch):
+    monkeypatch.setattr(logistic, "CELL", 3 * 8 * len(FEATURES))  # three rows a value, the last value of a batch with fewer
+    more = rows.unionByName(rows.limit(1).withColumn("y", F.lit(None).cast("int")))
+    known = logistic.pack(more, FEATURES, "y", "fold")
+    got = []
+    for r in known.packed.toArrow().to_batches():
+        for x, y, fold in logistic.unpacked([r], np.zeros(4)):
+            got += [(*v[:4], int(c), int(f)) for v, c, f in zip(x.tolist(), y, fold, strict=True)]
+    want = [tuple(r) for r in rows.select(*[f"`{f}`" for f in FEATURES], "y", "fold").collect()]
+    assert sorted(got) == sorted(want) and sum(known.counts.values()) == 400
+    assert known.centre == pytest.approx(np.mean([r[:4] for r in want], axis=0))
+
+
+def test_models_that_start_alike_share_their_sums(spark, rows, monkeypatch):
+    """Products for many models at once are those of each; in the first pass models differ by folds and weights only."""
+    x, w = np.random.default_rng(1).normal(size=(50, 5)), np.random.default_rng(2).random((50, 6))
+    upper = np.triu_indices(5)
+    for k in range(6):
+        assert logistic.products(x, w, upper)[k] == pytest.approx(((x * w[:, [k]]).T @ x)[upper])
+    wanted = [Wanted(c, l1, False, f) for c in (0.1, 1.0, 10.0) for l1 in (False, True) for f in (frozenset({0}), frozenset({0, 1}))]
+    known = logistic.pack(rows, FEATURES, "y", "fold")
+    sums = logistic.curvature(known, wanted, {m: np.zeros(5) for m in range(len(wanted))})
+    assert list(sums) == list(range(12)) and len({id(s[2]) for s in sums.values()}) == 2
+    own = rows.where("fold in (0, 1)").toPandas()[FEATURES].to_numpy() - known.centre
+    own = np.concatenate([own, np.ones((len(own), 1))], axis=1)
+    assert sums[1][2] == pytest.approx(own.T @ own / 4)
+    some = logistic.curvature(known, wanted, {m: np.full(5, m / 100) for m in range(12)}, {3, 5})
+    every = logistic.curvature(known, wanted, {m: np.full(5, m / 100) for m in range(12)})
+    assert [m for m, s in some.items() if s[2] is not None] == [3, 5]
+    for m in range(12):
+        assert some[m][0] == pytest.approx(every[m][0]) and some[m][1] == pytest.approx(every[m][1])
+    assert some[5][2] == pytest.approx(every[5][2])

@@ -174,3 +174,13 @@ def test_auc_of_known_cases(spark):
 def test_weights_must_sum_to_one(spark):
     with pytest.raises(ValueError):
         provider_risk.unranked_scores(None, None, weights={"a": 0.5})
+
+
+def test_folds_hash_each_key_once(spark):
+    df = spark.range(60).select("id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 7).cast("int")).alias("d"))
+    marked = features.time_folds(df, "d", ["id"], folds=5)
+    top = marked.select("fold")._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert top.startswith("Project") and "lambda" not in top
+    order = sorted((str(r.d), r.h, r.id) for r in df.withColumn("h", F.md5(F.concat_ws("|", F.lit(""), F.col("id").cast("string")))).collect())
+    want = {key: max(0, i // 10) for i, (_, _, key) in enumerate(order)}
+    assert {r.id: r.fold for r in marked.collect()} == want

@@ -7,7 +7,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from vouchlens.operators import logistic, training, trees
+from vouchlens.operators import forests, logistic, training, trees
 from vouchlens.operators.logistic import Wanted
 from vouchlens.session import scratch_path
 
@@ -209,3 +209,51 @@ def test_models_that_start_alike_share_their_sums(spark, rows, monkeypatch):
     for m in range(12):
         assert some[m][0] == pytest.approx(every[m][0]) and some[m][1] == pytest.approx(every[m][1])
     assert some[5][2] == pytest.approx(every[5][2])
+
+
+@pytest.mark.parametrize("finish, at_once", [(1_000_000, 4096), (60, 3)])
+def test_deep_trees_are_those_of_mllib(spark, rows, monkeypatch, finish, at_once):
+    """Without draws a deep tree is MLlib's, whether its nodes are split in passes or finished in tasks."""
+    monkeypatch.setattr(forests, "FINISH", finish)
+    monkeypatch.setattr(forests, "AT_ONCE", at_once)
+    monkeypatch.setattr(forests, "BLOCK", 50)
+    ready = rows.withColumn("w", F.when(F.col("y") == 1, 1.5).otherwise(1.0))
+    learner = RandomForestClassifier(
+        featuresCol="features", labelCol="y", weightCol="w", numTrees=2, maxDepth=20, featureSubsetStrategy="all",
+        bootstrap=False, minInstancesPerNode=2, seed=5,
+    )
+    forest = trees.fit_forest(ready, FEATURES, 400, learner)
+    model = learner.fit(trees.assembled(ready, FEATURES))
+    trees.keep(spark, model, 0, False, path := scratch_path(spark, "plain"))
+    plain = trees.TreeModel(False, tuple(FEATURES), 2, spark.read.parquet(path))
+    assert forest.nodes.count() == plain.nodes.count() > 100
+    score = [r.score for r in plain.scored(rows).orderBy("a").collect()]
+    assert [r.score for r in forest.scored(rows).orderBy("a").collect()] == pytest.approx(score)
+    assert forest.importance() == pytest.approx(plain.importance())
+    values = forest.nodes.groupBy("tree").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("id").alias("n"), F.count_distinct("id").alias("d"))
+    assert all(r.low == 0 and r.high + 1 == r.n == r.d for r in values.collect())
+    assert forest.nodes.where("left >= 0 and (left <= id or right <= id)").isEmpty()
+
+
+def test_a_deep_forest_draws_bags_and_columns(spark, rows, monkeypatch):
+    """Trees differ, are the same when grown again, however the rows come to their tasks, and tell as much as MLlib's."""
+    ready = rows.withColumn("w", F.when(F.col("y") == 1, 1.5).otherwise(1.0)).repartition(1)
+    learner = RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="w", numTrees=24, maxDepth=20, minInstancesPerNode=2, seed=5)
+    found = [trees.fit_forest(ready.orderBy("a").coalesce(1), FEATURES, 400, learner).nodes.drop("part").orderBy("tree", "id").collect() for _ in range(2)]
+    assert found[0] == found[1] and len({r.threshold for r in found[0] if r.id == 0}) > 3
+    monkeypatch.setattr(forests, "FINISH", 50)
+    forest = trees.fit_forest(ready.orderBy("a").coalesce(1), FEATURES, 400, learner)
+    score = {r.a: r.score for r in forest.scored(rows).collect()}
+    again = trees.TreeModel(False, tuple(FEATURES), 24, spark.createDataFrame(found[0], trees.NODES)).scored(rows)
+    assert all(score[r.a] == pytest.approx(r.score) for r in again.collect())
+    plain = learner.fit(trees.assembled(ready, FEATURES)).transform(trees.assembled(ready, FEATURES)).select("a", vector_to_array("probability")[1].alias("p"))
+    assert np.mean([abs(score[r.a] - r.p) for r in plain.collect()]) < 0.08
+
+
+def test_a_large_model_is_applied_in_parts(spark, rows, monkeypatch):
+    model = training.train(rows, training.FOREST, {**training.DEFAULTS[training.FOREST], "n_estimators": 9}, training.TrainingSettings(FEATURES, "y"))
+    whole = {r.a: r.sums for r in model.sums(rows, [2, 5, 9]).collect()}
+    monkeypatch.setattr(trees, "AT_ONCE", 200)
+    assert len(model.parts()) > 3 and model.sums(rows, [2, 5, 9]).columns == [*rows.columns, "sums"]
+    got = model.sums(rows, [2, 5, 9]).collect()
+    assert len(got) == 400 and all(r.sums == pytest.approx(whole[r.a]) for r in got)

@@ -7,7 +7,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from vouchlens.operators import forests, logistic, training, trees
+from vouchlens.operators import boosting, forests, logistic, training, trees
 from vouchlens.operators.logistic import Wanted
 from vouchlens.session import scratch_path
 
@@ -257,3 +257,41 @@ def test_a_large_model_is_applied_in_parts(spark, rows, monkeypatch):
     assert len(model.parts()) > 3 and model.sums(rows, [2, 5, 9]).columns == [*rows.columns, "sums"]
     got = model.sums(rows, [2, 5, 9]).collect()
     assert len(got) == 400 and all(r.sums == pytest.approx(whole[r.a]) for r in got)
+
+
+@pytest.mark.parametrize("together", [64, 1])
+def test_boosted_trees_of_large_tables_are_those_of_mllib(spark, rows, monkeypatch, together):
+    """Without draws the trees grown by sums over packed rows are MLlib's, with few nodes, columns and blocks at once too."""
+    ready = rows.withColumn("w", F.when(F.col("y") == 1, 2.0).otherwise(1.0))
+    learner = GBTClassifier(
+        featuresCol="features", labelCol="y", weightCol="w", maxIter=5, maxDepth=4, minInstancesPerNode=3, minInfoGain=0.1 / 400, seed=3
+    )
+    plain = trees.fit_boosted(ready, FEATURES, 400, learner)
+    for name, value in (("BLOCK", 50), ("AT_ONCE", 3), ("ANEW", 2), ("CELLS", 40), ("TOGETHER", together)):
+        monkeypatch.setattr(boosting, name, value)
+    monkeypatch.setattr(trees, "TASK_ROWS", 100)
+
+    def refuse(*_):
+        raise AssertionError("a shuffle for every level")
+
+    monkeypatch.setattr(GBTClassifier, "fit", refuse)
+    own = trees.fit_boosted(ready, FEATURES, 400, learner)
+    assert own.nodes.count() == plain.nodes.count() > 50 and own.trees == 5
+    want = [r.sums for r in plain.sums(rows, [1, 3, 5]).orderBy("a").collect()]
+    assert [r.sums for r in own.sums(rows, [1, 3, 5]).orderBy("a").collect()] == [pytest.approx(s, abs=1e-9) for s in want]
+    assert own.importance() == pytest.approx(plain.importance(), abs=1e-2)
+
+
+def test_boosted_trees_draw_bags_and_columns(spark, rows, monkeypatch):
+    monkeypatch.setattr(trees, "TASK_ROWS", 100)
+    ready = rows.withColumn("w", F.lit(1.0)).orderBy("a").coalesce(1)
+    learner = GBTClassifier(
+        featuresCol="features", labelCol="y", weightCol="w", maxIter=6, maxDepth=3, subsamplingRate=0.8, featureSubsetStrategy="0.5", seed=3
+    )
+    found = [trees.fit_boosted(ready, FEATURES, 400, learner).nodes.orderBy("tree", "id").collect() for _ in range(2)]
+    assert found[0] == found[1] and len({r.feature for r in found[0] if r.id == 0}) > 1
+    scored = trees.fit_boosted(ready, FEATURES, 400, learner).scored(rows).select("y", "prediction").collect()
+    assert np.mean([r.y == r.prediction for r in scored]) > 0.7
+    # one class, as the search's folds may have it
+    alike = trees.fit_boosted(ready.where("y = 1"), FEATURES, 400, learner)
+    assert alike.nodes.count() == 6 and {r.prediction for r in alike.scored(rows).collect()} == {1}

@@ -223,6 +223,26 @@ def test_ppm(docs, nothing):
     assert bare.train_tokens == 0 and bare.score < 0
 
 
+def test_minimizers_of_many_texts_are_those_of_each(monkeypatch):
+    """Texts are joined for speed; no run reaches from one text into the next."""
+    monkeypatch.setattr(suffix_dedup, "JOINED", 300)
+    rng = np.random.default_rng(5)
+    lengths = [0, 49, 50, 0, 0, 51, 1, 120, 700, 60, 0, 200, 200, 49, 0]
+    datas = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in lengths]
+    datas += [datas[7], b"x" * 90, b"x" * 80, b""]
+    want = []
+    for t, data in enumerate(datas):
+        if len(data) >= suffix_dedup.LENGTH:
+            for w in range(len(data) - suffix_dedup.LENGTH + 1):
+                own = suffix_dedup.window_minimizers(np.frombuffer(data[w : w + suffix_dedup.LENGTH], np.uint8))
+                want.append((t, w, int(own[0])))
+    text, start, end, low = suffix_dedup.minimizer_runs(datas)
+    runs = list(zip(text.tolist(), start.tolist(), end.tolist(), low.tolist(), strict=True))
+    assert [(t, w, v) for t, s, e, v in runs for w in range(s, e)] == want
+    assert len(runs) < len(want) / 4 and all((a[0], a[3]) != (b[0], b[3]) for a, b in zip(runs, runs[1:], strict=False))
+    assert all(len(x) == 0 for x in suffix_dedup.minimizer_runs([]) + suffix_dedup.minimizer_runs([b"", b"short"]))
+
+
 def test_suffix_arrays():
     rnd = random.Random(3)
     for top in (1, 2, 4, 200):

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -223,6 +224,25 @@ def test_ppm(docs, nothing):
     assert bare.train_tokens == 0 and bare.score < 0
 
 
+def test_tasks_hold_little_of_what_they_have_read(monkeypatch):
+    """What a task remembers is bounded well under its share of an executor, and its results don't depend on the bound."""
+    rnd = random.Random(4)
+    texts = [" ".join("".join(rnd.choices("abcdefgh", k=7)) for _ in range(400)) for _ in range(600)]
+    terms = toxicity.Terms(1 << 18)
+    found = [terms.of_text(t).tolist() for t in texts]
+    assert len(terms.known) < 110_000
+    assert found[-3:] == [toxicity.Terms(1 << 18).of_text(t).tolist() for t in texts[-3:]]
+    table = bpe.merges(public_tokenizers.path("word_bpe_49k.json"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts[:300]})
+    chunks = bpe.Chunks(table, bpe.values(table), 1 << 20)
+    got, most = [], 0
+    for part in bpe.slices(batch, size=64 << 10):
+        got += bpe.encode_texts(table, part.column(1).to_pylist(), chunks)[0]
+        most = max(most, chunks.size)
+    assert most < 12 << 20
+    assert got[-2:] == bpe.encode_texts(table, texts[298:300], bpe.Chunks(table, bpe.values(table)))[0]
+
+
 def test_minimizers_of_many_texts_are_those_of_each(monkeypatch):
     """Texts are joined for speed; no run reaches from one text into the next."""
     monkeypatch.setattr(suffix_dedup, "JOINED", 300)

@@ -226,7 +226,12 @@ def values(table: Merges):
 
 
 def encode(
-    docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", remembered: int = REMEMBERED
+    docs: DataFrame,
+    path: str,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    remembered: int = REMEMBERED,
+    at_once: int = BYTES,
 ) -> DataFrame:
     """Token ids of every whole text and the text that they decode to.
 
@@ -235,14 +240,15 @@ def encode(
     Null and empty texts have no ids and decode to the empty text; special strings in
     a text are their special tokens; repeated rows are encoded each; null ids stay
     null; an empty table gives an empty result; other columns are not looked at. A task
-    remembers about ``remembered`` bytes of what it has encoded, which changes its time only.
+    remembers about ``remembered`` bytes of what it has encoded, besides what about ``at_once`` bytes of text bring anew
+    (ten to twenty times as much); both change its time and memory only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = merges(path)
         chunks = Chunks(table, values(table), remembered)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=at_once):
                 ids, decoded = encode_texts(table, part.column(1).to_pylist(), chunks)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())],
@@ -252,15 +258,15 @@ def encode(
     return texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
-def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of at most ROWS rows and about BYTES of text, so that a task holds the results of a few texts at a time."""
+def slices(batch: pa.RecordBatch, column: int = 1, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ROWS rows and about ``size`` bytes of text, so that a task holds the results of a few texts at a time."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-    at, size = 0, 0
+    at, held = 0, 0
     for i, n in enumerate(sizes):
-        if i > at and (i - at == ROWS or size + n > BYTES):
+        if i > at and (i - at == ROWS or held + n > size):
             yield batch.slice(at, i - at)
-            at, size = i, 0
-        size += n
+            at, held = i, 0
+        held += n
     if at < len(sizes):
         yield batch.slice(at)
 

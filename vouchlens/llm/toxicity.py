@@ -23,8 +23,8 @@ from vouchlens.llm.common import texts
 from vouchlens.session import written_once
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Words whose terms a task remembers before it starts anew (results don't depend on it).
-REMEMBERED = 1_000_000
+#: Words whose terms a task remembers before it starts anew (results don't depend on it); a word takes some 400 bytes.
+REMEMBERED = 100_000
 #: Labels of two numbers each that are sent to every executor at most.
 BROADCAST_ROWS = 1_000_000
 

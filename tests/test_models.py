@@ -295,3 +295,28 @@ def test_boosted_trees_draw_bags_and_columns(spark, rows, monkeypatch):
     # one class, as the search's folds may have it
     alike = trees.fit_boosted(ready.where("y = 1"), FEATURES, 400, learner)
     assert alike.nodes.count() == 6 and {r.prediction for r in alike.scored(rows).collect()} == {1}
+
+
+def test_a_model_that_fails_is_no_result(spark, rows, monkeypatch):
+    from vouchlens.suite import models as suite
+
+    few = {
+        training.LOGISTIC: training.DEFAULTS[training.LOGISTIC],
+        training.BOOSTING: {**training.DEFAULTS[training.BOOSTING], "n_estimators": 2, "max_depth": 2},
+    }
+    split = rows.withColumn("split", F.when(F.col("fold") == 0, "test").otherwise("train")).withColumn("risk_target", F.col("y"))
+    monkeypatch.setattr(suite, "prepared", lambda s, d: (split.withColumnRenamed("b b", "b"), ["a", "b", "c"], ["a", "b", "c"]))
+    monkeypatch.setattr(training, "DEFAULTS", few)
+    assert {r.model for r in suite.QUERIES["M20_train_and_evaluate"](spark, "").collect()} == set(few)
+
+    def refuse(*_, **__):
+        raise MemoryError
+
+    monkeypatch.setattr(training, "fit_boosted", refuse)
+    with pytest.raises(training.TrainingFailed, match="xgboost: MemoryError"):
+        suite.QUERIES["M20_train_and_evaluate"](spark, "")
+    found = {(r.model, r.split): r.message for r in suite.QUERIES["M5_train_all_models"](spark, "").collect()}
+    assert found == {("logistic_regression", "train"): None, ("logistic_regression", "test"): None, ("xgboost", None): "MemoryError: "}
+    monkeypatch.setattr(training, "fit_many", refuse)
+    with pytest.raises(training.TrainingFailed, match="logistic_regression: MemoryError"):
+        suite.QUERIES["M5_train_all_models"](spark, "")

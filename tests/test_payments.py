@@ -236,3 +236,16 @@ def test_csv_columns_in_any_order(spark, reverse):
     assert back.select(*names).exceptAll(df.select(*names)).count() == 0
     found = consolidate.detect_all(back, PAYMENTS_CSV, S)
     assert found.count() == df.count()
+
+
+def test_csv_exports_are_whole_and_compressed(spark):
+    """The long texts of the detectors repeat in every row."""
+    path = scratch_path(spark, "export")
+    text = F.concat(F.lit('says "no", twice; '), F.repeat(F.lit("días negativos, "), 20), F.col("id").cast("string"))
+    rows = spark.range(0, 5000, 1, 4).select("id", text.alias("text")).union(spark.createDataFrame([(-1, None)], "id long, text string"))
+    sinks.export({"one": rows, "two": rows.where("id < 10")}, path, "csv")
+    back = {n: spark.read.csv(f"{path}/{n}", schema="id long, text string", header=True, escape='"') for n in ("one", "two")}
+    assert back["one"].exceptAll(rows).count() == rows.exceptAll(back["one"]).count() == 0 and back["two"].count() == 11
+    files = spark.read.format("binaryFile").load([f"{path}/one", f"{path}/two"]).select("path", "length").collect()
+    plain = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert all(f.path.endswith(".csv.gz") for f in files) and sum(f.length for f in files) * 10 < plain

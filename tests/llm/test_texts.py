@@ -142,6 +142,34 @@ def plain_join(rows, words, percent):
     return {(i, len(s), parts[i], count[i]) for i, s in sets.items()}
 
 
+def test_blocks_of_a_large_group_are_kept_once(spark, monkeypatch):
+    """A group is compared block by block with itself, but its sets are not sent once for each block."""
+    words = [f"w{i}" for i in range(60)]
+    found = [" ".join([*words[: 40 + i % 3], f"own{i}"]) for i in range(60)] + ["a b c d e f g"] * 3
+    df = frame(spark, found, range(len(found)))
+    settings = jaccard.Settings(3, 80)
+    whole = sorted(tuple(r) for r in jaccard.similarity_join(df, settings).collect())
+    assert {r[3] for r in whole} == {59, 2} and {r[2] for r in whole} == {0, 60}
+    sent, dealt = [], jaccard.in_tasks
+
+    def counted(sets):
+        out = dealt(sets)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "in_tasks", counted)
+    monkeypatch.setattr(jaccard, "CELL", 200)
+    assert sorted(tuple(r) for r in jaccard.similarity_join(df, settings).collect()) == whole
+    assert sum(sent) <= jaccard.DEALT * len(found)
+
+
+def test_sets_packed_together():
+    rng = np.random.default_rng(5)
+    own = [np.unique(rng.integers(0, 50, n).astype(np.uint64) * np.uint64(1 << 57)) for n in (1, 40, 7, 200)]
+    back = jaccard.unpacked_sets(*jaccard.packed_sets(own))
+    assert len(back) == 4 and all((a == b).all() for a, b in zip(own, back, strict=True))
+
+
 @pytest.mark.parametrize("limits", [{}, {"SHORT": 4, "CELL": 1500, "SHARED": 3, "HOT": 1 / 64}])
 def test_similarity_join(docs, nothing, limits, monkeypatch):
     for name, value in limits.items():

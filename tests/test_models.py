@@ -320,3 +320,52 @@ def test_a_model_that_fails_is_no_result(spark, rows, monkeypatch):
     monkeypatch.setattr(training, "fit_many", refuse)
     with pytest.raises(training.TrainingFailed, match="logistic_regression: MemoryError"):
         suite.QUERIES["M5_train_all_models"](spark, "")
+
+
+def test_rows_are_led_by_one_number_a_node():
+    """Children in any order, values on and beside thresholds, values that are none, a tree of one leaf; 16 bytes a node."""
+    rng, tree, nodes = np.random.default_rng(4), [], []
+    for t, splits in enumerate((12, 0, 30)):
+        first, free = len(nodes), [len(nodes)]
+        nodes.append([-1, -1, 0, 0.0, rng.random()])
+        for _ in range(splits):
+            at, a = free.pop(rng.integers(len(free))), len(nodes)
+            nodes[at][:4] = *rng.permutation([a, a + 1]).tolist(), int(rng.integers(3)), float(rng.integers(6))
+            nodes += [[-1, -1, 0, 0.0, rng.random()] for _ in range(2)]
+            free += [a, a + 1]
+        tree += [t] * (len(nodes) - first)
+    left, right, feature, threshold, value = (np.array(c) for c in zip(*nodes, strict=True))
+    x = rng.integers(-1, 14, (300, 3)) / 2.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+
+    def walk(row, at):
+        while left[at] >= 0:
+            at = left[at] if row[feature[at]] <= threshold[at] else right[at]
+        return value[at]
+
+    leaves = np.array([[walk(row, at) for at in (0, 25, 26)] for row in x])
+    arrays = trees.Arrays.of(3, np.array(tree), left, right, feature, threshold, value)
+    assert (arrays.sums(x, [1, 3]) == np.stack([leaves[:, 0], leaves[:, 0] + leaves[:, 1] + leaves[:, 2]], axis=1)).all()
+    assert arrays.node.nbytes + arrays.value.nbytes == 16 * len(nodes)
+
+
+def test_rows_are_counted_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    thresholds = tuple(np.arange(k) + 0.5 for k in (3, 1, 7, 0))
+    plan = forests.Plan(thresholds, (0,) * 5, (0, 2, 3, 6, 6), (1.0, 2.0), 2, 9, 1, 0.0, True, 1.0, 3)
+    x = np.stack([rng.integers(0, len(t) + 1, 500) for t in thresholds], axis=1).astype(np.uint8)
+    y, n, slot = rng.integers(0, 2, 500), rng.integers(1, 4, 500).astype(float), rng.integers(0, 5, 500)
+    columns = plan.columns(0, np.arange(8, 13))
+    some = np.flatnonzero(rng.random(500) < 0.7)
+    want = [
+        n[(slot == s) & (x[:, f] == b) & (y == c) & np.isin(np.arange(500), some)].sum()
+        for s, drawn in enumerate(columns.tolist())
+        for f in drawn
+        for b in range(plan.bins[f])
+        for c in (0, 1)
+    ]
+    monkeypatch.setattr(forests, "CHUNK", 64)
+    got = forests.counted(forests.doubled(x, y, plan), some * 4, n[some], slot[some], columns, plan)
+    assert got.ravel().tolist() == want
+    draws = np.random.default_rng([3, 5, 9]).random(4000)
+    assert (plan.bag(5, 9, 4000) == np.searchsorted(plan.poisson, draws, side="right")).all()
